@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import conversations, encoding, packing, splitting
+from corpusmill.llm import abuse, conversations, encoding, leakage, packing, splitting
 from corpusmill.sources.tables import table
 
 
@@ -56,6 +56,40 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
 
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, root, "documents"), leakage.held_out(table(spark, root, "eval_items")))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, item_id): documents with the evaluation items they give away."""
+    return _leaks(spark, root).select("doc_id", "item_id").distinct()
+
+
+def p9_spans(spark: SparkSession, root: str) -> DataFrame:
+    """The same with the coverage and the spans to remove."""
+    return _leaks(spark, root)
+
+
+def _scored(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents")
+    return abuse.score_documents(documents, abuse.train(abuse.labelled_texts(documents, table(spark, root, "review_labels"))))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id): abusive, hateful or sexually explicit documents."""
+    return _scored(spark, root).where("abusive").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    """A score for every document."""
+    return _scored(spark, root)
+
+
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    """The rate of such documents by source."""
+    return abuse.source_rates(table(spark, root, "documents"), _scored(spark, root))
+
+
 P5_SQL = r"""
 WITH m AS (
   SELECT chat_id, id, content, created_at, lower(regexp_replace(role, '^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$', '', 'g')) AS role
@@ -90,5 +124,6 @@ P8_SQL = "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) + 1 > 4096"
 QUERIES = {
     "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_dialogues": p5_dialogues,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_containers": p8_containers,
+    "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 ORACLES = {"p5_found": P5_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL}
