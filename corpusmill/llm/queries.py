@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import abuse, conversations, encoding, leakage, packing, splitting
+from corpusmill.llm import abuse, conversations, encoding, leakage, neighbours, packing, splitting
 from corpusmill.sources.tables import table
 
 
@@ -46,6 +46,11 @@ def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_items(splitting.oversized_items(table(spark, root, "preprocessed")), ["prep_id", "item_kind", "item_no"])
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """(chunk_a, chunk_b): pairs of which either is among the 5 most similar of the other."""
+    return neighbours.neighbour_pairs(table(spark, root, "rag_chunks"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id): documents that are divided."""
     return packing.pack(table(spark, root, "documents")).where(F.col("piece_no") > 1).select("doc_id").distinct()
@@ -124,6 +129,6 @@ P8_SQL = "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) + 1 > 4096"
 QUERIES = {
     "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_dialogues": p5_dialogues,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_containers": p8_containers,
-    "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
+    "p7_found": p7_found, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 ORACLES = {"p5_found": P5_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL}
