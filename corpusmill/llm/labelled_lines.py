@@ -1,0 +1,230 @@
+"""Lines of pages labelled by hand: what the site puts around a post, and what a post itself says.
+
+Training data of the boilerplate operator (our own labels, read off sample pages of the site).
+"""
+
+from __future__ import annotations
+
+#: Menus, paths, notices of the site, widgets, links, counters and footers.
+AROUND = """
+본문으로 건너뛰기
+본문 바로가기
+주메뉴 바로가기
+전체메뉴 열기
+전체메뉴
+메뉴 닫기
+통합검색 검색어를 입력하세요
+로그인 회원가입 사이트맵 ENG
+글자크기 크게 작게 인쇄
+대학소개
+- 대학소개
+▸ 대학소개
+입학안내
+- 입학안내
+학사정보
+▸ 학사정보
+대학생활
+- 대학생활
+연구·산학
+▸ 연구·산학
+정보광장
+- 정보광장
+학과소개
+- 교육과정
+교수진
+▸ 학생활동
+졸업생
+게시판
+- 자료실
+묻고 답하기
+학교안내
+- 총장실
+조직도
+▸ 오시는 길
+캠퍼스맵
+전화번호 찾기
+학부/대학원
+- 학생지원
+▸ 국제교류
+열린마당
+공지
+- 장학
+▸ 취업
+커뮤니티
+FAQ
+대학소개 | 입학안내 | 학사정보 | 대학생활 | 연구·산학 | 정보광장
+학과소개 / 교육과정 / 교수진 / 학생활동 / 졸업생
+총장실 · 조직도 · 오시는 길 · 캠퍼스맵
+공지 장학 취업 커뮤니티 자료실 FAQ
+학교안내 학부/대학원 학생지원 국제교류 열린마당
+홈 › 정보광장 › 채용
+HOME > 열린마당 > 공지사항
+현재 위치: 처음 > 대학생활 > 비교과
+홈 › 대학생활 › 등록과 장학
+본 사이트는 이용자 편의를 위해 쿠키를 사용합니다. 계속 이용하면 쿠키 사용에 동의하는 것으로 봅니다.
+더 나은 서비스를 제공하고자 접속 기록과 쿠키 정보를 수집하고 있습니다. [동의] [거부]
+쿠키 설정 | 모두 허용 | 필수 항목만 허용
+방문 통계 수집에 동의하시겠습니까? 예 아니요 자세히 보기
+오늘 하루 이 창을 열지 않음 [닫기]
+해림대 앱을 설치하고 새 소식을 가장 먼저 받아 보세요!
+바다를 여는 대학, 해림대학교가 여러분의 내일을 응원합니다.
+다솜빛 캠프 신청이 진행 중입니다. 지금 바로가기
+누리울 장학금 신청이 진행 중입니다. 지금 바로가기
+자주 찾는 서비스
+빠른 메뉴
+배너 모음 더보기
+인기 검색어
+많이 본 글
+최근 게시물
+관련 글
+실시간 상담 열기
+학사일정 보기
+통학버스 시간표
+사이버 캠퍼스
+오늘의 식단
+수강편람
+웹메일
+포털 로그인
+전자도서관 바로가기
+증명서 발급 바로가기
+관련사이트 바로가기 ▼
+이 페이지의 내용에 만족하십니까? 매우만족 만족 보통 불만족 매우불만족
+공유하기 인쇄 URL 복사
+페이스북 공유 트위터 공유 링크 복사
+이 글을 추천 12 스크랩 신고
+목록
+목록으로
+[목록보기]
+목록 수정 삭제
+이전글 앞선 글이 없습니다
+다음글 뒤의 글이 없습니다
+오늘 방문자 1,234명 / 전체 3,456,789명
+콘텐츠 담당부서: 국제교류본부 (내선 2183)
+자료관리 담당자 시설안전과 / 내선 4821
+이 페이지 관리: 정보전산원 내선 5512
+최종 수정일 2023. 4. 11.
+개인정보처리방침 이메일무단수집거부 저작권정책 찾아오시는길
+이용약관 | 개인정보처리방침 | 영상정보처리기기 운영방침
+우편번호 48513 해림시 푸른내길 12 전화 000-1234 팩스 000-4321
+(77357) 해림시 해림로 43 해림대학교 대표전화 000-1876-1410
+(c) 2024 HAERIM UNIVERSITY
+Copyright 2019 Haerim Univ. Powered by Haerim CMS
+© 2020 Haerim University. All rights reserved.
+Skip to content
+Jump to main menu
+Search Login Sign up KOR
+Login / Register
+A+ A- Print
+Home
+- About
+▸ Academics
+Admissions
+- Research
+▸ Campus Life
+Undergraduate
+- Graduate
+▸ Library
+International
+News
+- Events
+▸ Jobs
+Calendar
+Directory
+Contact us
+Home | About | Academics | Admissions
+Home / About / Academics / Admissions / Research
+Undergraduate | Graduate | Library
+News · Events · Jobs · Calendar
+Home > Notices > General
+Home > Board > Academic
+Home > News > Jobs
+We use cookies to improve your visit. By staying on this site you agree to their use.
+This website stores small files on your device. [OK] [Learn more]
+Accept all | Reject | Manage preferences
+Do not show this window again today [close]
+Download our app and never miss a notice
+Haerim University, where the sea begins
+Applications for the Corford Seminar are open. Go now
+Subscribe to our newsletter
+Quick links
+Related sites
+Bus timetable
+Academic calendar
+Student portal login
+Webmail
+Today's menu
+Chat with us
+Latest posts
+Most viewed
+Popular searches
+Related posts
+Share Print Copy link
+Like 12 Scrap Report
+Was this page helpful? Yes No
+Back to list
+List Edit Delete
+Previous: none
+Next: none
+Visitors today 2274 / total 7145861
+Page maintained by: Residence Hall Office, last updated 2 November 2023
+Privacy policy | Terms of use | Sitemap
+66 Haerim-ro, Haerim City 63302 Tel 000-7710-2467
+""".strip().split("\n")
+
+#: The post's own short lines and sentences, those that sound like the site's included.
+POST = """
+자세한 내용은 붙임 파일을 확인하여 주시기 바랍니다.
+누리집 개편으로 11월 26일부터 메뉴 위치와 쿠키 안내 방식이 바뀝니다.
+개인정보 처리방침 개정에 관한 의견을 1월 7일까지 산학협력단로 보내 주시기 바랍니다.
+저작권 교육 이수 안내: 휴학생 28명
+신청 경로: 포털 로그인 > 학생서비스 > 증명서 발급 메뉴
+신청 경로: 포털 로그인 > 학생서비스 > 휴학 메뉴
+문의: 취업진로지원센터 내선 6690
+문의: 생활관 행정실 내선 1023
+가. 제출처: 시설안전과 (내선 4590)
+가. 제출처: 국제교류본부 (내선 2183)
+※ 졸업논문 미이수자는 제외
+※ 교환학생 선발 미이수자는 제외
+- 모집 인원: 41명
+1. 대상: 졸업예정자
+1. 대상: 신입생
+1. 대상: 외국인 유학생
+1. 대상: 학부생 전체
+1. 대상: 교직원
+1. 대상: 직전 학기 12학점 이상 이수자
+2. 일시: 2022. 9. 3.(수) 13:30
+3. 장소: 새벽봄홀 655호
+붙임: 성적증명서 서식 1부. 끝.
+붙임: 신청서 서식 2부. 끝.
+문의 사항은 생활관 행정실(내선 4590)로 연락하여 주시기 바랍니다.
+신청 기간은 2024. 10. 15.(금)부터 2024. 9. 11.(금)까지이며 13:00 이후 접수분은 인정하지 않습니다.
+이 규정은 공포한 날부터 시행하고 종전의 증명서 발급 세칙은 폐지한다.
+강의평가 신청은 포털 시스템의 학적 메뉴에서 가능하고 지도교수 승인이 필요합니다.
+도서관 558호는 시험 기간에 10:30까지 연장 개방하며 음식물 반입을 금지합니다.
+심사는 서류 23점과 면접 54점을 합산하여 고득점자 순으로 진행합니다.
+한결울 캠프 최종 결과는 2024. 5. 22.(월) 누리집에 게시되며 개별 통보는 하지 않습니다.
+바른결 캠프 발표 자료는 11월 25일 이후 보건진료소 자료실에서 내려받을 수 있습니다.
+선발된 학생에게는 학기당 230만원을 지급하고 중도 포기 시 전액을 환수합니다.
+작년 바른결 장학금 참가자의 만족도는 24점으로 집계되어 올해 규모를 확대하기로 하였다.
+인권센터는 매주 월요일 17:30에 전과 상담을 운영하고 있습니다.
+학생회는 해솔내동 리모델링과 관련하여 3학년 이상 학생의 의견을 12월 7일까지 수렴합니다.
+위원회는 위원장을 포함한 39명 이내의 위원으로 구성하며 임기는 2년으로 한다.
+See the attached file for details.
+The new privacy policy and the use of cookies on our site will be explained in room 729 on 28 March 2022.
+Path: portal login > student services > dormitory application
+Path: portal login > student services > double major
+Contact: International Office
+Contact: Office of Academic Affairs
+- Places available: 64
+1. Who: students on leave
+1. Who: transfer students
+2. When: 5 March 2023, 11:30
+3. Where: Nardale Building, room 263
+Please contact the Scholarship Office if your recommendation letter contains an error or has not been delivered.
+The information session takes place in Quinridge Annex, room 615, and seating is limited to 2 persons.
+Every Wednesday the Main Library offers individual consultation about tuition payment in room 604.
+Graduates may order one application form free of charge through the portal within 41 days.
+Access to Branmont Hall is restricted from 13:30 onwards because of maintenance work on the heating system.
+Interviews will be held in room 520 and weigh as much as the written documents.
+Reading rooms remain open until 14:00 during the examination period, and food is not allowed inside.
+""".strip().split("\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import abuse, conversations, encoding, leakage, neighbours, packing, splitting
+from corpusmill.llm import abuse, boilerplate, conversations, encoding, leakage, neighbours, packing, splitting
 from corpusmill.sources.tables import table
 
 
@@ -25,6 +25,21 @@ def p3_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.restore_encoding(_blocks(spark, root), "text", ["prep_id", "block_no"])
 
 
+def _pages(spark: SparkSession, root: str) -> DataFrame:
+    posts = table(spark, root, "notice_posts")
+    return boilerplate.line_labels(posts, ["capture_id"], "content", boilerplate.learn(posts))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """(capture_id, line_no): lines of pages that are not the post's own text."""
+    return _pages(spark, root).select("capture_id", F.explode("around").cast("long").alias("line_no"))
+
+
+def p4_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """(capture_id, body): the post itself."""
+    return _pages(spark, root).select("capture_id", "body")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """(chat_id): chats to drop."""
     return conversations.dropped_chats(table(spark, root, "chats"), table(spark, root, "chat_messages"))
@@ -127,7 +142,7 @@ UNION SELECT DISTINCT prep_id, 'chunk', item.chunk_id::bigint FROM c WHERE lengt
 P8_SQL = "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) + 1 > 4096"
 
 QUERIES = {
-    "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_dialogues": p5_dialogues,
+    "p4_found": p4_found, "p4_bodies": p4_bodies, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_dialogues": p5_dialogues,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_containers": p8_containers,
     "p7_found": p7_found, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
