@@ -32,7 +32,7 @@ def _pages(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """(capture_id, line_no): lines of pages that are not the post's own text."""
-    return _pages(spark, root).select("capture_id", F.explode("around").cast("long").alias("line_no"))
+    return _pages(spark, root).select("capture_id", F.explode("around").alias("line_no"))
 
 
 def p4_bodies(spark: SparkSession, root: str) -> DataFrame:
