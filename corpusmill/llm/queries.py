@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import abuse, boilerplate, conversations, encoding, leakage, neighbours, packing, splitting
+from corpusmill.llm import abuse, boilerplate, conversations, encoding, leakage, neighbours, packing, scans, splitting
 from corpusmill.sources.tables import table
 
 
@@ -15,6 +15,17 @@ def _blocks(spark: SparkSession, root: str) -> DataFrame:
     return placed.select("prep_id", (F.col("place") + 1).cast("long").alias("block_no"), "block.block_type", "block.text")
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """(prep_id, block_no, line_no, kind): faulty lines of scanned pages."""
+    faults = scans.repair_pages(table(spark, root, "preprocessed")).select("prep_id", "block_no", F.explode("faults").alias("fault"))
+    return faults.select("prep_id", F.col("block_no").cast("long").alias("block_no"), F.col("fault.line_no").cast("long").alias("line_no"), "fault.kind")
+
+
+def p2_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(prep_id, block_no, text): every scanned page as clean paragraphs."""
+    return scans.repair_pages(table(spark, root, "preprocessed")).select("prep_id", "block_no", "text")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """(prep_id, block_no): blocks with text that was decoded wrongly."""
     return encoding.restore_encoding(_blocks(spark, root), "text", ["prep_id", "block_no"]).select("prep_id", "block_no").distinct()
@@ -142,6 +153,7 @@ UNION SELECT DISTINCT prep_id, 'chunk', item.chunk_id::bigint FROM c WHERE lengt
 P8_SQL = "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) + 1 > 4096"
 
 QUERIES = {
+    "p2_found": p2_found, "p2_pages": p2_pages,
     "p4_found": p4_found, "p4_bodies": p4_bodies, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_dialogues": p5_dialogues,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_containers": p8_containers,
     "p7_found": p7_found, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
