@@ -1,9 +1,9 @@
 """Filling containers of fixed capacity.
 
 Harmonic packing: sizes between C/(k+1) and C/k form class k, and a bin of class k holds k
-documents of it, so workers fill their bins without knowing of each other.  What such bins
-leave free is then used for the small documents, those of the classes beyond ``CLASSES``, which
-fit nearly anywhere.  Documents over the capacity are cut into full containers and a rest, and
+documents of it, so workers fill their bins without knowing of each other.  Fixed counts alone
+leave a good part of the bins free, so what a bin of a class leaves is offered to the documents
+of the later classes, the small ones beyond ``CLASSES`` last.  Documents over the capacity are cut into full containers and a rest, and
 the rest is packed like any other document.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 4096
-#: Documents larger than capacity / CLASSES are packed by class, smaller ones fill the gaps.
+#: Documents larger than capacity / CLASSES have bins of their class, smaller ones fill the gaps.
 CLASSES = 12
 #: Containers that one task fills by itself.
 CONTAINERS_A_TASK = 2000
@@ -72,40 +72,45 @@ def sized_pieces(documents: DataFrame, key: str, text: str, capacity: int = CAPA
 
 
 def harmonic_bins(sizes: list[int], capacity: int, classes: int = CLASSES) -> list[int]:
-    """The bin of every size: by class first, then the small ones into what is left free.
+    """The bin of every size: class by class, then the small ones into what is left free.
 
-    Within a class the documents go in order of size, the largest with the smallest, so that
-    bins of a class are evenly full; each small document, largest first, goes into the bin it
-    fills best.  Bin numbers start at 0.
+    A document of a class goes first into the bin of an earlier class that it fills best; those
+    that fit none make bins of their class, a fixed number in each.  Small documents, largest
+    first, go into any bin by the same rule.  Bin numbers start at 0.
     """
     by_class: dict[int, list[int]] = {}
-    small = []
     for i, size in enumerate(sizes):
         if size > capacity:
             raise ValueError("an item is larger than a container")
-        k = min(capacity // max(size, 1), classes)
-        if k < classes:
-            by_class.setdefault(k, []).append(i)
-        else:
-            small.append(i)
-    bins, free = [0] * len(sizes), []
-    for k in sorted(by_class):
-        members = sorted(by_class[k], key=lambda i: sizes[i])
-        while members:
-            taken = [members.pop(0 if place % 2 else -1) for place in range(min(k, len(members)))]
-            free.append(capacity - sum(sizes[i] for i in taken))
-            for i in taken:
-                bins[i] = len(free) - 1
-    order = sorted((left, b) for b, left in enumerate(free))
-    for i in sorted(small, key=lambda i: -sizes[i]):
+        by_class.setdefault(min(capacity // max(size, 1), classes), []).append(i)
+    bins, free = [0] * len(sizes), 0
+    order: list[tuple[int, int]] = []
+
+    def fitted(i: int) -> bool:
         place = bisect.bisect_left(order, (sizes[i], -1))
-        if place < len(order):
-            left, b = order.pop(place)
-        else:
-            left, b = capacity, len(free)
-            free.append(capacity)
+        if place == len(order):
+            return False
+        left, b = order.pop(place)
         bins[i] = b
         bisect.insort(order, (left - sizes[i], b))
+        return True
+
+    for k in sorted(by_class):
+        members = sorted(by_class[k], key=lambda i: (-sizes[i], i))
+        if k < classes:
+            rest = [i for i in members if not fitted(i)]
+            for start in range(0, len(rest), k):
+                taken = rest[start : start + k]
+                for i in taken:
+                    bins[i] = free
+                bisect.insort(order, (capacity - sum(sizes[i] for i in taken), free))
+                free += 1
+        else:
+            for i in members:
+                if not fitted(i):
+                    bins[i] = free
+                    bisect.insort(order, (capacity - sizes[i], free))
+                    free += 1
     return _emptied(bins, sizes, capacity)
 
 
