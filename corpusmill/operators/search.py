@@ -24,13 +24,14 @@ FORM_BOOST, APPENDIX_BOOST, TOPIC_BOOST = 0.14, 0.10, 0.08
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
-    """Cosine with a query vector in double precision; null for null, zero or differently long vectors."""
+    """Cosine with a query vector in double precision; null for null, zero, non-finite or differently long vectors."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     literal = F.array(*[F.lit(float(x)) for x in query])
     dot = F.aggregate(F.zip_with(wide, literal, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
     size = float(sum(x * x for x in query)) ** 0.5
-    return F.when((F.size(vector) == len(query)) & (norm > 0) & F.lit(size > 0), dot / (norm * F.lit(size or 1.0)))
+    value = dot / (norm * F.lit(size or 1.0))
+    return F.when((F.size(vector) == len(query)) & (norm > 0) & F.lit(size > 0) & ~F.isnan(value), value)
 
 
 def merged(left: Column, right: Column) -> Column:
