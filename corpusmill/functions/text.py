@@ -6,6 +6,8 @@ Unicode classes says so.  Null in gives null out unless a function says otherwis
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ SPACED_HANGUL = "(?U)(?<![\\uac00-\\ud7a3])(?:[\\uac00-\\ud7a3]\\s+){3,}[\\uac00
 LINE_END = "\\n|\\x85|\\u2028|\\u2029"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def one_blank(text: Column) -> Column:
     """Every run of Unicode white space (no-break spaces and line ends included) as one blank, ends trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -60,13 +67,16 @@ def _without_artefacts(text: Column) -> Column:
 
 def is_noise_line(line: Column) -> Column:
     """Blank lines, rules of signs, caret markers alone, and ``n / m``."""
-    bare = _strip(line)
+    return let(_strip(line), _says_nothing)
+
+
+def _says_nothing(bare: Column) -> Column:
     return (bare == "") | bare.rlike(r"(?U)^(?:[-=*_~\s]{3,})$") | bare.rlike(r"(?U)^(?:\(?\^+\s*\d+[.)]?\)?\s*)+$") | bare.rlike(r"(?U)^\d+\s*/\s*\d+$")
 
 
 def consecutive_distinct(lines: Column) -> Column:
     """An array without elements that equal the one before."""
-    return F.aggregate(lines, F.array().cast("array<string>"), lambda kept, line: F.when((F.size(kept) > 0) & (F.element_at(kept, -1) == line), kept).otherwise(F.concat(kept, F.array(line))))
+    return let(lines, lambda x: F.filter(x, lambda line, i: (i == 0) | ~line.eqNullSafe(F.get(x, i - 1))))
 
 
 def cleaned(text: Column) -> Column:
@@ -75,15 +85,18 @@ def cleaned(text: Column) -> Column:
     value = normalized_lines(text)
     for pattern in (BOX_DRAWING, CARET_RUN, CARET):
         value = F.regexp_replace(value, pattern, " ")
-    value = _without_artefacts(value)
-    # A run of single syllables is pulled together: a blank between two of them goes where the run is long enough.
-    runs = F.regexp_extract_all(value, F.lit(f"({SPACED_HANGUL})"), F.lit(1))
-    value = F.aggregate(runs, value, lambda acc, run: F.replace(acc, run, F.replace(run, F.lit(" "), F.lit(""))))
-    lines = F.transform(F.split(value, LINE_END), lambda line: _tight(_without_artefacts(normalized_lines(line))))
-    kept = consecutive_distinct(F.filter(lines, lambda line: ~is_noise_line(line)))
+    value = let(_without_artefacts(value), _pulled_together)
+    lines = F.transform(F.split(value, LINE_END), lambda line: _tight(_without_artefacts(line)))
+    kept = let(F.filter(lines, lambda line: ~is_noise_line(line)), lambda x: F.filter(x, lambda line, i: (i == 0) | (line != F.get(x, i - 1))))
     return _tight(F.regexp_replace(F.array_join(kept, "\n"), "\\n{3,}", "\n\n"))
 
 
+def _pulled_together(value: Column) -> Column:
+    """Runs of four or more single Hangul syllables without the blanks between them."""
+    runs = F.regexp_extract_all(value, F.lit(f"({SPACED_HANGUL})"), F.lit(1))
+    return F.aggregate(runs, value, lambda acc, run: F.replace(acc, run, F.replace(run, F.lit(" "), F.lit(""))))
+
+
 def block_text(text: Column) -> Column:
     """Cleaned text on one line."""
     return F.replace(cleaned(text), F.lit("\n"), F.lit(" "))
@@ -139,8 +152,8 @@ def chat_title(text: Column, most: int = 80) -> Column:
 def formatted_bytes(n: Column) -> Column:
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, "0.0"), F.lit(" KB")))
-        .otherwise(F.concat(F.format_number(n / (1024 * 1024), "0.0"), F.lit(" MB")))
+        .when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, 1), F.lit(" KB")))
+        .otherwise(F.concat(F.format_number(n / (1024 * 1024), 1), F.lit(" MB")))
     )
 
 
@@ -151,10 +164,10 @@ def truthy(text: Column) -> Column:
 
 def repaired_latin(text: Column) -> Column:
     """UTF-8 that was read as Latin-1, put right where this makes more Hangul; others as they are."""
-    turned = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
+    possible = ~text.rlike("[^\\x00-\\xff]")
+    turned = F.try_validate_utf8(F.encode(F.when(possible, text).otherwise(""), "ISO-8859-1").cast("string"))
     hangul = lambda c: F.regexp_count(c, F.lit("[\\uac00-\\ud7a3]"))
-    possible = ~text.rlike("[^\\x00-\\xff]") & ~turned.contains("�")
-    return F.when(possible & (hangul(turned) > hangul(text)), turned).otherwise(text)
+    return F.when(possible & turned.isNotNull() & (hangul(turned) > hangul(text)), turned).otherwise(text)
 
 
 def safe_filename(name: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -106,12 +107,16 @@ def _members(path: str, content: bytes, wanted: set[str]) -> list[tuple]:
 
 
 def table_rows(text: str, sniff_chars: int = 4096) -> list[str]:
-    """The rows of delimited text as ``a | b | c`` without empty cells; the dialect is guessed from the beginning."""
-    try:
-        dialect: type[csv.Dialect] | csv.Dialect = csv.Sniffer().sniff(text[:sniff_chars], delimiters=",;\t|")
-    except csv.Error:
-        dialect = csv.excel
-    rows = (" | ".join(c for cell in row if (c := " ".join(cell.split()))) for row in csv.reader(io.StringIO(text), dialect))
+    """The rows of delimited text as ``a | b | c`` without empty cells; the delimiter is the one that makes the beginning most regular."""
+    sample = text[:sniff_chars]
+
+    def regular(delimiter: str) -> tuple[int, int]:
+        """How many rows of the sample have the commonest number of cells above one, and that number."""
+        widths = Counter(len(row) for row in csv.reader(io.StringIO(sample), delimiter=delimiter) if len(row) > 1)
+        return max(((n, w) for w, n in widths.items()), default=(0, 0))
+
+    delimiter = max(",;\t|", key=regular)
+    rows = (" | ".join(c for cell in row if (c := " ".join(cell.split()))) for row in csv.reader(io.StringIO(text), delimiter=delimiter))
     return [r for r in rows if r]
 
 
