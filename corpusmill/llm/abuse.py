@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that are fitted on at most; of more, those with the smallest hash are taken.
 MOST_LABELLED = 20_000
-BITS = 18
+BITS = 19
 GRAMS = (1, 2, 3, 4, 5)
 #: Sentences longer than this are judged in parts that overlap by half, so that length dilutes nothing.
 SPAN = 120
+#: How far above the bias a score has to be at least.
+CLEAR = 1.0
+#: Weight, in documents, of the corpus in the share of positive documents that have an n-gram; largest log ratio.
+PRIOR, MOST_RATIO = 20.0, 4.0
 #: Sentences of a negative document that are fitted on, the highest-scoring ones.
 HARDEST = 6
 #: Sentences with fewer n-grams are scaled as if they had so many, so that a fragment says little.
@@ -33,12 +37,18 @@ LEAST_GRAMS = 90
 _END = re.compile(r"\n+|(?<=[.!?。…])[\"'”’)]*\s+")
 _JOINERS = re.compile(r"(?<=[^\W\d_])[­​-‏⁠﻿ㅡ·._\-~^|/]+(?=[^\W\d_])")
 _REPEATS = re.compile(r"(.)\1{2,}")
+_SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W\d_])")
+_LEET = re.compile(r"(?<=[a-z])[@$!0135](?=[a-z])")
+#: Signs and digits that stand for letters inside a word.
+LETTERS = dict(zip("@$!0135", "asioies", strict=True))
 
 
 def plain(text: str) -> str:
-    """Composed, in lower case, digits as 0, long repetitions and signs between letters taken out."""
-    text = _REPEATS.sub(r"\1\1", re.sub(r"\d+", "0", unicodedata.normalize("NFKC", text).lower()))
-    return " ".join(text.split())
+    """Composed, in lower case, numbers as 0, long repetitions shortened, and what hides words undone:
+    signs for letters inside words, and words spelt with a blank between all letters."""
+    text = _LEET.sub(lambda m: LETTERS[m.group()], unicodedata.normalize("NFKC", text).lower())
+    text = " ".join(_REPEATS.sub(r"\1\1", re.sub(r"\d+", "0", text)).split())
+    return _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
 
 
 def sentences(text: str) -> list[str]:
@@ -94,13 +104,16 @@ def _gathered(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(lists) if lists else np.zeros(0, np.int32), np.repeat(np.arange(len(lists), dtype=np.int32), sizes), 1 / np.sqrt(np.maximum(sizes, LEAST_GRAMS))
 
 
-def _ratio(positive: list[np.ndarray], negative: list[np.ndarray], trust_positive: np.ndarray, trust_negative: np.ndarray) -> np.ndarray:
-    """Log ratio of the shares of positive and negative documents that have an n-gram; 0 where none has it."""
+def _ratio(positive: list[np.ndarray], corpus: np.ndarray, n_corpus: float) -> np.ndarray:
+    """Log ratio of the share of positive documents that have an n-gram to the share of all documents.
+
+    The share of the positives leans on that of the corpus, so an n-gram no positive document has
+    says little, and one that hardly any document has says nothing for certain.
+    """
     dim = 1 << BITS
-    count = lambda lists, trust: np.bincount(np.concatenate(lists), weights=np.repeat(trust, [len(f) for f in lists]), minlength=dim) if lists else np.zeros(dim)
-    n_p, n_n = max(trust_positive.sum(), 1e-9), max(trust_negative.sum(), 1e-9)
-    smooth_p, smooth_n = n_p / (n_p + n_n), n_n / (n_p + n_n)
-    return np.log((count(positive, trust_positive) + smooth_p) / n_p) - np.log((count(negative, trust_negative) + smooth_n) / n_n)
+    count = np.bincount(np.concatenate(positive), minlength=dim) if positive else np.zeros(dim)
+    everywhere = (corpus + 0.5) / (n_corpus + 1.0)
+    return np.clip(np.log((count + PRIOR * everywhere) / (len(positive) + PRIOR)) - np.log(everywhere), -MOST_RATIO, MOST_RATIO)
 
 
 def _fit(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, steps: int = 80, ridge: float = 2e-3) -> tuple[np.ndarray, float]:
@@ -126,9 +139,12 @@ def _fit(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.n
     return w * ratio, b
 
 
-def train(labelled: list[tuple[str, float]], rounds: int = 4) -> Classifier:
+def train(labelled: list[tuple[str, float]], corpus: tuple[np.ndarray, int] | None = None, rounds: int = 4) -> Classifier:
     """Fit on (text, share of reviewers who called it abusive) pairs.
 
+    ``corpus`` says in how many documents of the whole corpus every n-gram stands, and how many there
+    are (:func:`document_frequencies`); the labelled documents stand in for it when it is not given.
+
     Each round fits the weights on the hardest sentences of negative documents and the chosen ones
     of positive documents, then chooses anew.  From the second round on documents whose label the
     model of the other half of the documents contradicts strongly, as errors of reviewers would
@@ -151,12 +167,14 @@ def train(labelled: list[tuple[str, float]], rounds: int = 4) -> Classifier:
     columns, rows, scale = _gathered(lists)
     # What a document has as a whole, each n-gram once.
     whole = [np.unique(np.concatenate([lists[s] for s in i])) for i in ids]
+    if corpus is None:
+        corpus = (np.bincount(np.concatenate(whole), minlength=1 << BITS), len(bags))
     chosen: list[int | None] = [None] * len(bags)
     hard: list[np.ndarray | None] = [None] * len(bags)
 
     def fit(members: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
         good, bad = [k for k in members if y[k] and trust[k]], [k for k in members if not y[k] and trust[k]]
-        ratio = _ratio([whole[k] if chosen[k] is None else lists[chosen[k]] for k in good], [whole[k] for k in bad], trust[good], trust[bad])
+        ratio = _ratio([whole[k] if chosen[k] is None else lists[chosen[k]] for k in good], *corpus)
         if any(chosen[k] is None for k in good):
             w, b = ratio, 0.0
         else:
@@ -183,7 +201,8 @@ def train(labelled: list[tuple[str, float]], rounds: int = 4) -> Classifier:
     scores = np.array([margins[i].max() for i in ids])
     fair = trust > 0
     low, high = np.median(scores[(y == 0) & fair]), np.median(scores[(y == 1) & fair])
-    return Classifier(w, b, float(_divide(out_of_fold, y, low, high)))
+    # What has no evidence either way scores the bias and must not pass.
+    return Classifier(w, b, max(float(_divide(out_of_fold, y, low, high)), b + CLEAR))
 
 
 def _divide(scores: np.ndarray, y: np.ndarray, low: float, high: float) -> float:
@@ -194,7 +213,7 @@ def _divide(scores: np.ndarray, y: np.ndarray, low: float, high: float) -> float
         said = scores > t
         hit = float((said & (y == 1)).sum())
         best.append(2 * hit / max(said.sum() + (y == 1).sum(), 1))
-    top = np.flatnonzero(np.array(best) >= max(best) - 0.002)
+    top = np.flatnonzero(np.array(best) >= max(best) - 0.01)
     return float(grid[int(np.median(top))])
 
 
@@ -207,6 +226,41 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = MOST_LAB
     return [(r["text"], r["share"]) for r in rows]
 
 
+def document_frequencies(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many documents every hashed n-gram stands, over all documents, and their number.
+
+    Counted in each task first; a task hands on at most one row for each of the hash places, and
+    the driver gets as many, whatever the size of the corpus.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, np.ndarray] = {}
+        total = np.zeros(1 << BITS, np.int64)
+        n = 0
+        for batch in batches:
+            for t in batch["_text"]:
+                parts = []
+                for s in sentences(t):
+                    f = seen.get(s)
+                    if f is None:
+                        if len(seen) > 20_000:
+                            seen.clear()
+                        f = seen[s] = features(s)
+                    parts.append(f)
+                if parts:
+                    n += 1
+                    total[np.unique(np.concatenate(parts))] += 1
+        held = np.flatnonzero(total)
+        yield pd.DataFrame({"place": np.r_[-1, held].astype(np.int32), "n": np.r_[n, total[held]]})
+
+    counted = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).mapInPandas(count, "place int, n long")
+    rows = counted.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, n = rows["place"].to_numpy(), rows["n"].to_numpy()
+    out = np.zeros(1 << BITS, np.int64)
+    out[place[place >= 0]] = n[place >= 0]
+    return out, int(n[place < 0].sum())
+
+
 def score_documents(documents: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, score, abusive)`` of every document, null and blank ones included (never abusive)."""
     sent = documents.sparkSession.sparkContext.broadcast((classifier.weights.astype(np.float32), classifier.bias, classifier.threshold))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from corpusmill.llm.abuse import labelled_texts, plain, score_documents, source_rates, train
+from corpusmill.llm.abuse import document_frequencies, features, labelled_texts, plain, score_documents, source_rates, train
 
 RUDE = ["you {n} idiots can rot in hell", "shut up you filthy {n} scum", "what a stupid {n} moron, get lost"]
 KIND = ["the {n} office opens at nine on monday", "please hand in the {n} form before friday", "the rule forbids calling {n} members idiots", "the library lends {n} books for two weeks", "interviews take place in the {n} hall"]
@@ -50,3 +50,17 @@ def test_operator_and_rates(spark):
     assert set(rates) == {"s", None}
     assert score_documents(df.limit(0), model).count() == 0
     assert labelled_texts(df.limit(0), labels) == []
+
+
+def test_document_frequencies_count_documents_once(spark):
+    df = spark.createDataFrame([("ab. ab. ab",), ("ab",), (None,), ("",)], "text string")
+    counts, n = document_frequencies(df)
+    assert n == 2
+    assert set(counts[features("ab")]) == {2}
+    assert document_frequencies(df.limit(0))[1] == 0
+
+
+def test_hidden_words_are_spelt_out():
+    assert plain("you i d i o t s there") == "you idiots there"
+    assert plain("st@ck y0ur") == "stack your"
+    assert plain("a b c") == "a b c"
