@@ -29,6 +29,8 @@ WORD_SHARE, PAIR_SHARE, FORM_SHARE = 1e-6, 2e-6, 1e-5
 LEAST = 3
 #: How many times as frequent as the misreading its original must be.
 RATIO = 12.0
+#: What a word that is too rare to be kept counts as, in shares of the least count.
+UNKNOWN = 0.5
 #: How much better the original must fit the neighbours.
 FIT = 4.0
 DIM, WINDOW_WEIGHT = 48, (1.0, 0.5)
@@ -87,6 +89,12 @@ def _script(c: str) -> str:
     return "other"
 
 
+def _is_mixed(word: str) -> bool:
+    """Whether a word has signs or more than one script, or digits among Latin letters."""
+    kinds = {_script(c) for c in word}
+    return "sign" in kinds or "other" in kinds or {"latin", "digit"} <= kinds or {"latin", "hangul"} <= kinds
+
+
 def plausible_edit(seen: str, meant: str) -> int | None:
     """The place of the one difference if a recogniser could read ``meant`` as ``seen``."""
     start, a, b = _difference(seen, meant)
@@ -261,6 +269,7 @@ class Model:
     vectors: dict[str, np.ndarray]
     contexts: dict[str, np.ndarray]
     forms: dict[str, int]
+    least: float = LEAST
     one: dict[str, list[str]] = field(default_factory=dict)
     two: dict[str, list[str]] = field(default_factory=dict)
     links: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
@@ -292,7 +301,8 @@ class Model:
         """Frequent words that ``word`` may be a misreading of, with the place of the difference."""
         found = self.links.get(word)
         if found is None:
-            count = self.words.get(word, 0)
+            # A word that is not kept may be as frequent as the rarest that are.
+            count = self.words.get(word, UNKNOWN * self.least)
             near: set[str] = set()
             for h in _holes(word, 1):
                 near.update(self.one.get(h, ()))
@@ -302,11 +312,11 @@ class Model:
                 near.update(self.two.get(h, ()))
             found = []
             for w in near:
-                if w != word and self.words[w] >= RATIO * max(count, 1) * (0.34 if count < LEAST else 1) and (at := plausible_edit(word, w)) is not None:
+                if w != word and self.words[w] >= RATIO * count and (at := plausible_edit(word, w)) is not None:
                     found.append((w, at))
             if any(c.isdigit() for c in word) or word[:1] in "lIOZSbBG|":
                 turned = word_key(word.translate(LIKE_DIGITS))
-                if turned != word and not any(c.isascii() and c.isalpha() for c in turned) and (turned == "0" or self.words.get(turned, 0) >= RATIO * max(count, 1)):
+                if turned != word and not any(c.isascii() and c.isalpha() for c in turned) and (turned == "0" or self.words.get(turned, 0) >= RATIO * count):
                     found.append((turned, next((i for i, c in enumerate(word) if c.isascii() and not c.isdigit()), 0)))
             found.sort(key=lambda f: (-self.words.get(f[0], 0), f[0]))
             self.links[word] = found
@@ -335,9 +345,10 @@ class Model:
         for meant, place in options:
             often, vector = self.fits(meant, before, after)
             better = often > FIT * own_often
-            if count < LEAST:
-                # A word that hardly exists while its original is many times as frequent; the context chooses.
-                sure = True
+            if not count:
+                # A word that hardly exists: its original stands between these neighbours or goes with them,
+                # or the word has what no word has, such as a bar or a digit among letters.
+                sure = better or vector > 0.0 or meant == "0" or _is_mixed(word) and not _is_mixed(meant)
             else:
                 sure = better and often >= LEAST and (vector >= own_vector or often > 5 * FIT * own_often)
             if sure and (best is None or (often, vector) > best[0]):
@@ -467,7 +478,7 @@ def learn(preprocessed: DataFrame) -> dict:
     finally:
         counts.unpersist()
     vectors, contexts = learn_vectors(kept["w"], kept["p"])
-    return {"words": kept["w"], "pairs": kept["p"], "vectors": vectors, "contexts": contexts, "forms": kept["f"]}
+    return {"words": kept["w"], "pairs": kept["p"], "vectors": vectors, "contexts": contexts, "forms": kept["f"], "least": least["w"]}
 
 
 def faults(pages: list[Page], model: Model) -> list[tuple[Page, set[int], dict[int, set[str]], Stream, dict[int, str]]]:
