@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 MOST_LABELLED = 20_000
 BITS = 19
 GRAMS = (1, 2, 3, 4, 5)
+_STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Sentences longer than this are judged in parts that overlap by half, so that length dilutes nothing.
 SPAN = 120
 #: How far above the bias a score has to be at least.
@@ -65,14 +66,21 @@ def sentences(text: str) -> list[str]:
 
 
 def features(sentence: str) -> np.ndarray:
-    """Hashed distinct n-grams of a sentence, as written and with the signs between letters removed."""
-    found = set()
+    """Hashed distinct n-grams of a sentence, as written and with the signs between letters removed.
+
+    All n-grams of a length are hashed at once: a polynomial over the code points, mixed by a
+    multiplication, of which the upper bits are the place.
+    """
     joined = _JOINERS.sub("", sentence)
-    for form in {sentence, joined}:
-        padded = f" {form} "
-        for n in GRAMS:
-            found.update(padded[i : i + n] for i in range(len(padded) - n + 1))
-    return np.fromiter({crc32(g.encode()) & ((1 << BITS) - 1) for g in found}, dtype=np.int32)
+    found = []
+    for form in (sentence,) if joined == sentence else (sentence, joined):
+        codes = np.frombuffer(f" {form} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        value = np.zeros(len(codes) + 1, np.uint64)
+        for n in range(1, max(GRAMS) + 1):
+            value = value[:-1][: max(len(codes) - n + 1, 0)] * _STEP + codes[n - 1 :]
+            if n in GRAMS:
+                found.append((value + np.uint64(n)) * _MIX >> np.uint64(64 - BITS))
+    return np.unique(np.concatenate(found)).astype(np.int32)
 
 
 @dataclass
@@ -107,12 +115,13 @@ def _gathered(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _ratio(positive: list[np.ndarray], corpus: np.ndarray, n_corpus: float) -> np.ndarray:
     """Log ratio of the share of positive documents that have an n-gram to the share of all documents.
 
-    The share of the positives leans on that of the corpus, so an n-gram no positive document has
-    says little, and one that hardly any document has says nothing for certain.
+    The corpus is counted by sentences; that a document has an n-gram at all follows from how many a
+    document has on average.  The share of the positives leans on that of the corpus, so an n-gram no
+    positive document has says little, and one that hardly any document has says nothing for certain.
     """
     dim = 1 << BITS
     count = np.bincount(np.concatenate(positive), minlength=dim) if positive else np.zeros(dim)
-    everywhere = (corpus + 0.5) / (n_corpus + 1.0)
+    everywhere = -np.expm1(-(corpus + 0.5) / (n_corpus + 1.0))
     return np.clip(np.log((count + PRIOR * everywhere) / (len(positive) + PRIOR)) - np.log(everywhere), -MOST_RATIO, MOST_RATIO)
 
 
@@ -142,8 +151,8 @@ def _fit(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.n
 def train(labelled: list[tuple[str, float]], corpus: tuple[np.ndarray, int] | None = None, rounds: int = 4) -> Classifier:
     """Fit on (text, share of reviewers who called it abusive) pairs.
 
-    ``corpus`` says in how many documents of the whole corpus every n-gram stands, and how many there
-    are (:func:`document_frequencies`); the labelled documents stand in for it when it is not given.
+    ``corpus`` says in how many sentences of the whole corpus every n-gram stands, and how many documents
+    there are (:func:`sentence_frequencies`); the labelled documents stand in for it when it is not given.
 
     Each round fits the weights on the hardest sentences of negative documents and the chosen ones
     of positive documents, then chooses anew.  From the second round on documents whose label the
@@ -168,7 +177,7 @@ def train(labelled: list[tuple[str, float]], corpus: tuple[np.ndarray, int] | No
     # What a document has as a whole, each n-gram once.
     whole = [np.unique(np.concatenate([lists[s] for s in i])) for i in ids]
     if corpus is None:
-        corpus = (np.bincount(np.concatenate(whole), minlength=1 << BITS), len(bags))
+        corpus = (np.bincount(np.concatenate([lists[s] for i in ids for s in i]), minlength=1 << BITS), len(bags))
     chosen: list[int | None] = [None] * len(bags)
     hard: list[np.ndarray | None] = [None] * len(bags)
 
@@ -226,39 +235,38 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = MOST_LAB
     return [(r["text"], r["share"]) for r in rows]
 
 
-def document_frequencies(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """In how many documents every hashed n-gram stands, over all documents, and their number.
+def sentence_frequencies(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many sentences every hashed n-gram stands, over all documents, and the number of documents.
 
-    Counted in each task first; a task hands on at most one row for each of the hash places, and
-    the driver gets as many, whatever the size of the corpus.
+    Counted in each task first, equal sentences once with their number; a task hands on at most one
+    row for each of the hash places, and the driver gets as many, whatever the size of the corpus.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, np.ndarray] = {}
-        total = np.zeros(1 << BITS, np.int64)
-        n = 0
+        held: Counter[str] = Counter()
+        total = np.zeros((1 << BITS) + 1, np.int64)
+
+        def add() -> None:
+            for s, n in held.items():
+                total[features(s)] += n
+            held.clear()
+
         for batch in batches:
             for t in batch["_text"]:
-                parts = []
-                for s in sentences(t):
-                    f = seen.get(s)
-                    if f is None:
-                        if len(seen) > 20_000:
-                            seen.clear()
-                        f = seen[s] = features(s)
-                    parts.append(f)
-                if parts:
-                    n += 1
-                    total[np.unique(np.concatenate(parts))] += 1
-        held = np.flatnonzero(total)
-        yield pd.DataFrame({"place": np.r_[-1, held].astype(np.int32), "n": np.r_[n, total[held]]})
+                own = sentences(t)
+                held.update(own)
+                total[-1] += bool(own)
+            if len(held) > 100_000:
+                add()
+        add()
+        places = np.flatnonzero(total)
+        yield pd.DataFrame({"place": places.astype(np.int32), "n": total[places]})
 
     counted = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).mapInPandas(count, "place int, n long")
     rows = counted.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    place, n = rows["place"].to_numpy(), rows["n"].to_numpy()
-    out = np.zeros(1 << BITS, np.int64)
-    out[place[place >= 0]] = n[place >= 0]
-    return out, int(n[place < 0].sum())
+    out = np.zeros((1 << BITS) + 1, np.int64)
+    out[rows["place"].to_numpy()] = rows["n"].to_numpy()
+    return out[:-1], int(out[-1])
 
 
 def score_documents(documents: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -103,7 +103,7 @@ def p9_spans(spark: SparkSession, root: str) -> DataFrame:
 
 def _scored(spark: SparkSession, root: str) -> DataFrame:
     documents = table(spark, root, "documents")
-    return abuse.score_documents(documents, abuse.train(abuse.labelled_texts(documents, table(spark, root, "review_labels")), abuse.document_frequencies(documents)))
+    return abuse.score_documents(documents, abuse.train(abuse.labelled_texts(documents, table(spark, root, "review_labels")), abuse.sentence_frequencies(documents)))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from corpusmill.llm.abuse import document_frequencies, features, labelled_texts, plain, score_documents, source_rates, train
+from corpusmill.llm.abuse import features, labelled_texts, plain, score_documents, sentence_frequencies, source_rates, train
 
 RUDE = ["you {n} idiots can rot in hell", "shut up you filthy {n} scum", "what a stupid {n} moron, get lost"]
 KIND = ["the {n} office opens at nine on monday", "please hand in the {n} form before friday", "the rule forbids calling {n} members idiots", "the library lends {n} books for two weeks", "interviews take place in the {n} hall"]
@@ -52,12 +52,18 @@ def test_operator_and_rates(spark):
     assert labelled_texts(df.limit(0), labels) == []
 
 
-def test_document_frequencies_count_documents_once(spark):
+def test_sentence_frequencies(spark):
     df = spark.createDataFrame([("ab. ab. ab",), ("ab",), (None,), ("",)], "text string")
-    counts, n = document_frequencies(df)
+    counts, n = sentence_frequencies(df)
     assert n == 2
-    assert set(counts[features("ab")]) == {2}
-    assert document_frequencies(df.limit(0))[1] == 0
+    assert set(counts[features("ab")]) <= {2, 4}
+    assert sentence_frequencies(df.limit(0))[1] == 0
+
+
+def test_features_are_distinct_ngrams():
+    grams = {f" abab "[i : i + n] for n in range(1, 6) for i in range(6 - n + 1)}
+    assert len(features("abab")) == len(grams)
+    assert set(features("a.b")) >= set(features("ab"))
 
 
 def test_hidden_words_are_spelt_out():
