@@ -150,6 +150,18 @@ SELECT DISTINCT prep_id, 'block' AS item_kind, item_no FROM b WHERE length(item.
 UNION SELECT DISTINCT prep_id, 'chunk', item.chunk_id::bigint FROM c WHERE length(item.text) > 900
 """
 
+P7_SQL = """
+WITH u AS (
+  SELECT id, embedding::DOUBLE[] AS v FROM rag_chunks
+  WHERE id IS NOT NULL AND len(embedding) = 384 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id),
+k AS (SELECT a, c, row_number() OVER (PARTITION BY a ORDER BY c DESC) AS place FROM s),
+t AS (SELECT a, min(c) AS kth FROM k WHERE place <= 5 GROUP BY a)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM s JOIN t USING (a) WHERE c >= kth - 0.000001
+"""
+
 P8_SQL = "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) + 1 > 4096"
 
 QUERIES = {
@@ -158,4 +170,4 @@ QUERIES = {
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_containers": p8_containers,
     "p7_found": p7_found, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
-ORACLES = {"p5_found": P5_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL}
+ORACLES = {"p5_found": P5_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
