@@ -340,7 +340,7 @@ def search_forms(spark: SparkSession, root: str) -> DataFrame:
     return questions.with_search_form(asked, "content")
 
 
-@R.query()
+@R.query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
 def event_runs(spark: SparkSession, root: str) -> DataFrame:
     """The place of every event among those of its user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

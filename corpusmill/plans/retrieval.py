@@ -345,7 +345,7 @@ def rule_score(spark: SparkSession, root: str) -> DataFrame:
     return s.select("id", F.round(scoring.rule_score(authority, F.col("recency_r"), tree, scoring.rule_quality(metadata, title), scoring.kind_adjustment(kind, rules=True)), 6).alias("score"))
 
 
-@R.query()
+@R.query(f"{_PARTS} SELECT s.id, s.source_slug, round(greatest(0.0, least(1.0, 0.35 + 0.24 * greatest(0.0, least(1.0, 0.45 * 0.5 + 0.35 * recency + 0.20 * quality + adj)))), 6) AS priority_score FROM k JOIN rag_sources s USING (id)")
 def written_back(spark: SparkSession, root: str) -> DataFrame:
     """Sources with their scores written back by id."""
     sources = table(spark, root, "rag_sources").select("id", "source_slug", F.lit(0.0).alias("priority_score"))
