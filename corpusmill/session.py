@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -58,3 +59,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a table that cuts lineage."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Where ``PYTHONPATH`` names its folder, or local workers start in it, they find it by themselves;
+    elsewhere Spark's file server hands out an archive of it.
+    """
+    context, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    by_path = root in [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    by_folder = context.master.startswith("local[") and os.path.abspath(os.getcwd()) == root
+    if by_path or by_folder or getattr(context, "_corpusmill_shipped", False):
+        return
+    # The driver's own scratch folder: it lives as long as the application, and executors fetch from the driver.
+    context.addPyFile(shutil.make_archive(os.path.join(context._temp_dir, "corpusmill-package"), "zip", root, "corpusmill"))
+    context._corpusmill_shipped = True
