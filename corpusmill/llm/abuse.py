@@ -231,7 +231,8 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = MOST_LAB
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("abusive").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("share"))
     few = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("share").alias("share")).orderBy("doc_id").collect()
+    # At most ``most`` ids, so they go to the texts and not the texts through a shuffle.
+    rows = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("share").alias("share")).orderBy("doc_id").collect()
     return [(r["text"], r["share"]) for r in rows]
 
 
