@@ -268,5 +268,6 @@ def neighbour_pairs(chunks: DataFrame, id: str = "id", vector: str = "embedding"
     links, members = nearest(chunks, id, vector, dim, k)
     classes = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = members.toDF("a", "id_a"), members.toDF("b", "id_b")
-    named = classes.join(left, "a").join(right, "b").where(F.col("id_a") != F.col("id_b"))
+    # Merge joins by name: the planner takes the distinct classes for far smaller than they are.
+    named = classes.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.col("id_a") != F.col("id_b"))
     return named.select(F.least("id_a", "id_b").alias("chunk_a"), F.greatest("id_a", "id_b").alias("chunk_b")).distinct()
