@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that are fitted on at most; of more, those with the smallest hash are taken.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 8_000
 BITS = 19
 GRAMS = (1, 2, 3, 4, 5)
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Least share of all words, of all pairs, and of all documents (for lines at page edges), and the least counts.
 WORD_SHARE, PAIR_SHARE, FORM_SHARE = 1e-6, 2e-6, 1e-5
+#: Least share of all words for a word to get vectors, so there are at most 200,000 of them.
+VECTOR_SHARE = 5e-6
 LEAST = 3
 #: How many times as frequent as the misreading its original must be.
 RATIO = 12.0
@@ -477,7 +479,7 @@ def learn(preprocessed: DataFrame) -> dict:
             kept[kind] = {(tuple(r["key"].split("\t")) if kind == "p" else r["key"]): r["n"] for r in sorted(rows, key=lambda r: r["key"])}
     finally:
         counts.unpersist()
-    vectors, contexts = learn_vectors(kept["w"], kept["p"])
+    vectors, contexts = learn_vectors({w: n for w, n in kept["w"].items() if n >= VECTOR_SHARE * total.get("w", 0)}, kept["p"])
     return {"words": kept["w"], "pairs": kept["p"], "vectors": vectors, "contexts": contexts, "forms": kept["f"], "least": least["w"]}
 
 
