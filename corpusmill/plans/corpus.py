@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions import dates, ids, text
 from corpusmill.operators import browse, chunking, questions, scoring, state, store, tree
 from corpusmill.plans.registry import Registry
+from corpusmill.sources import web
 from corpusmill.sources.tables import table
 
 R = Registry()
@@ -319,6 +320,26 @@ def event_props(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.count(F.when(k >= 5, 1)).alias("large"))
 
 
+@R.query("SELECT url, capture_id FROM (SELECT url, capture_id, row_number() OVER (PARTITION BY url ORDER BY length(title) DESC NULLS LAST, capture_id) AS place FROM notice_posts WHERE coalesce(url, '') <> '') WHERE place = 1")
+def longest_titles(spark: SparkSession, root: str) -> DataFrame:
+    """For every address the sighting with the longest title."""
+    return web.longest_titles(table(spark, root, "notice_posts"), "url", "title", "capture_id").select("url", "capture_id")
+
+
+@R.query("SELECT capture_id, TRY_CAST(regexp_extract(title, '(20\\d{2})', 1) AS INT) AS year FROM notice_posts WHERE regexp_matches(title, '20\\d{2}')".replace("\\\\", "\\"))
+def title_years(spark: SparkSession, root: str) -> DataFrame:
+    """The year that a title names."""
+    none = F.lit(None).cast("string")
+    return table(spark, root, "notice_posts").select("capture_id", web.inferred_year(none.cast("int"), F.col("title"), none, none).alias("year")).where("year IS NOT NULL")
+
+
+@R.query()
+def unique_names(spark: SparkSession, root: str) -> DataFrame:
+    """Names under which all attachments of a post can be kept in one folder."""
+    each = table(spark, root, "notice_posts").select("post_no", "capture_id", F.posexplode("attachments").alias("p", "a")).select("post_no", F.concat_ws("-", F.lpad(F.col("capture_id").cast("string"), 12, "0"), "p").alias("place"), "a.name")
+    return web.unique_names(each.where("name IS NOT NULL"), "post_no", "name", "place").select("post_no", "place", "unique_name")
+
+
 @R.query()
 def cleaned_texts(spark: SparkSession, root: str) -> DataFrame:
     """Documents cleaned of the traces of layout."""

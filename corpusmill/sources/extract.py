@@ -44,6 +44,7 @@ class Node:
 
     def __init__(self, name: str, attrs: dict[str, str | None]) -> None:
         self.name, self.names = name, f"{attrs.get('id') or ''} {attrs.get('class') or ''}".lower().strip()
+        self.href = attrs.get("href") or ""
         self.children: list[Node | str] = []
 
     def below(self) -> Iterator[Node]:
