@@ -37,6 +37,10 @@ UNKNOWN = 0.5
 FIT = 4.0
 DIM, WINDOW_WEIGHT = 48, (1.0, 0.5)
 EDGE = 3
+#: In how many times as many documents a form must be furniture as it is text.
+ODDS = 3.0
+#: A line shorter than this share of its page's longest is no running text.
+SHORT = 0.5
 #: Entries of a task's counters after which they are handed on.
 FLUSH = 400_000
 
@@ -224,7 +228,8 @@ def _is_furniture(part: str, page: Page, repeated: dict[str, int], agreed: tuple
         agrees = number - (page.number or 0) == agreed[0] and agreed[1] >= 2
         return decorated or agrees or number == page.number or number < 0
     if part in repeated:
-        return model is None or not (model.heading(part) or model.text_line(part))
+        # By chance a heading or a line of text comes back once, hardly twice.
+        return repeated[part] >= 3 or model is None or model.known_furniture(part) or not (model.heading(part) or model.text_line(part))
     return model is not None and model.known_furniture(part)
 
 
@@ -275,8 +280,13 @@ class Model:
     one: dict[str, list[str]] = field(default_factory=dict)
     two: dict[str, list[str]] = field(default_factory=dict)
     links: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
+    near_forms: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
+        # Whole furniture lines of four characters or more, for lines that a misreading sets apart from them.
+        for f, n in self.forms.items():
+            if f.startswith("+w ") and n >= LEAST and len(f) >= 7 and n > ODDS * self.forms.get(f"-{f[1:]}", 0):
+                self.near_forms.update(_holes(f[3:], 1))
         for w in self.words:
             for h in _holes(w, 1):
                 self.one.setdefault(h, []).append(w)
@@ -285,9 +295,11 @@ class Model:
 
     def known_furniture(self, part: str) -> bool:
         """Whether the line, or how it ends, is furniture in other documents and hardly ever text."""
-        if _SENTENCE_END.search(part) or len(part) > 60 or self.heading(part):
+        if _SENTENCE_END.search(part) or len(part) > 60:
             return False
-        return any(self.forms.get(f"+{form}", 0) >= 2 and self.forms.get(f"+{form}", 0) > 10 * self.forms.get(f"-{form}", 0) for form in edge_forms(part))
+        if len(part) >= 4 and any(h in self.near_forms for h in _holes(_DIGITS.sub("0", " ".join(part.split())), 1)):
+            return True
+        return any(self.forms.get(f"+{form}", 0) >= 2 and self.forms.get(f"+{form}", 0) > ODDS * self.forms.get(f"-{form}", 0) for form in edge_forms(part))
 
     def heading(self, part: str) -> bool:
         """Whether lines that begin so stand at the edges of pages mostly without coming back."""
@@ -412,16 +424,19 @@ def corpus_counts(preprocessed: DataFrame) -> DataFrame:
                 kept: set[str] = set()
                 text: set[str] = set()
                 for page in pages:
+                    width = max((len(page.lines[i]) for i in page.filled), default=0)
                     for edge in page.edges():
                         for p in _parts(page.lines[edge[0]])[:1] if edge else ():
-                            if _page_number(p) is None and not _SENTENCE_END.search(p):
+                            # Lines that fill the page are running text, whatever they begin with.
+                            if _page_number(p) is None and not _SENTENCE_END.search(p) and len(p) < SHORT * width:
                                 (kept if p in repeated else text).add(beginning(p))
                 for page, skip in zip(pages, furniture(pages), strict=True):
                     for i in page.filled:
                         parts = _parts(page.lines[i])
                         if i in skip:
                             kept.update(f for p in parts if p in repeated for f in edge_forms(p))
-                        elif i in page.filled[2:-2]:
+                        elif i in page.filled[1:-1]:
+                            # The outermost line may be a header that stands on this page alone.
                             text.update(f for p in parts for f in edge_forms(p))
                     keys = reading_order(page, skip).keys
                     words.update(keys)
