@@ -9,9 +9,10 @@ stands there.  Correct text in the same block is left as it is.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,11 +24,9 @@ from pyspark.sql import functions as F
 REPLACEMENT = "\ufffd"
 #: Log frequency of a syllable that the corpus does not have; the same for corpora of any size.
 UNKNOWN = -16.5
-#: So many of the commonest syllables are also precomputed two by two.
-PAIRED = 150
 #: Blocks without any of these characters cannot be garbled; tested in the scan, before Python sees a row.
 SUSPECT = (
-    r"[\x{0080}-\x{009F}\x{FFFD}]|\x{00AC}[\x{00AE}-\x{00FF}]|[\x{00A1}-\x{00AB}\x{00AE}-\x{024F}\x{2010}-\x{203A}\x{20AC}\x{2122}\x{02C6}\x{02DC}\x{2500}-\x{259F}\x{2200}-\x{22FF}\x{0370}-\x{03FF}]{2}|[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]{2}"
+    r"[\x{0080}-\x{009F}\x{FFFD}]|\x{00AC}[\x{00AE}-\x{00FF}]|[\x{00A1}-\x{00AB}\x{00AE}-\x{024F}\x{2010}-\x{203A}\x{20AC}\x{2122}\x{02C6}\x{02DC}\x{2500}-\x{259F}\x{2200}-\x{22FF}\x{0370}-\x{03FF}]{2}|[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}][^\x{0000}-\x{007F}]"
     r"|[A-Za-z][\x{AC00}-\x{D7A3}\x{FF61}-\x{FF9F}\x{4E00}-\x{9FFF}][a-z]|(?:^|[^\x{AC00}-\x{D7A3}])[\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}][a-z]{2}"
     r"|[\x{FF61}-\x{FF9F}]{2}|[\x{0400}-\x{04FF}][\x{00A0}-\x{00BF}\x{2010}-\x{203A}]|[\x{E000}-\x{F8FF}]|[\x{0530}-\x{0590}\x{0600}-\x{06FF}]{2}"
 )
@@ -84,6 +83,12 @@ def _alphabet() -> dict[str, list[str]]:
     }
 
 
+def _heads(target: str) -> list[str]:
+    """What the first two bytes of a Hangul syllable or kana in UTF-8 are in a double-byte encoding."""
+    leads = [(0xE3, second) for second in (0x81, 0x82, 0x83)] + [(first, second) for first in range(0xEA, 0xEE) for second in range(0x80, 0xC0)]
+    return [c for lead in leads if len(c := bytes(lead).decode(target, "ignore")) == 1 and not c.isascii()]
+
+
 class Garbled:
     """The automaton of garbled sequences and the restoring of spans."""
 
@@ -105,15 +110,10 @@ class Garbled:
                         continue
                     if garbled != c and not garbled.isascii():
                         found.setdefault(garbled, set()).add((number, kind))
-            # Three bytes a syllable against two a character: two syllables in a row fall on whole characters.
+            # Three bytes a letter against two a character: the first two bytes of any letter make a character.
             if source == "utf-8" and target not in SINGLE:
-                common = sorted(syllables, key=syllables.get, reverse=True)[:PAIRED]
-                for a in common:
-                    for b in common:
-                        try:
-                            found.setdefault((a + b).encode().decode(target), set()).add((number, "hangul"))
-                        except UnicodeError:
-                            continue
+                for head in _heads(target):
+                    found.setdefault(head, set()).add((number, "head"))
         self.automaton = ahocorasick.Automaton()
         for garbled, uses in found.items():
             self.automaton.add_word(garbled, (len(garbled), tuple(sorted(uses))))
@@ -178,14 +178,19 @@ class Garbled:
         """(text with the garbled spans restored, number of spans that were or stay garbled)."""
         lost = len(re.findall(f"{REPLACEMENT}+", text))
         uses: dict[int, list[tuple[int, int]]] = {}
+        heads: dict[int, list[int]] = {}
         for end, (length, marks) in self.automaton.iter(text):
-            for number, _ in marks:
-                uses.setdefault(number, []).append((end + 1 - length, end + 1))
+            for number, kind in marks:
+                hits = uses.setdefault(number, [])
+                if kind == "head":
+                    heads.setdefault(number, []).append(end + 1 - length)
+                else:
+                    hits.append((end + 1 - length, end + 1))
         found: list[tuple[int, int, str, int]] = []
         for number, hits in uses.items():
             pair = PAIRS[number]
             done: list[tuple[int, int]] = []
-            for start, stop in self._stretches(text, number, hits):
+            for start, stop in self._stretches(text, number, hits, heads.get(number, [])):
                 # Parts of a stretch that turns back as a whole need no look of their own.
                 at = bisect_right(done, (start, len(text))) - 1
                 if at >= 0 and stop <= done[at][1]:
@@ -212,7 +217,29 @@ class Garbled:
             return (again, max(len(taken) + lost, more))
         return fixed, len(taken) + lost
 
-    def _stretches(self, text: str, number: int, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    def _from_heads(self, text: str, number: int, heads: list[int]) -> Iterator[tuple[int, int]]:
+        """The longest stretch from each head on that turns back exactly, parts of an earlier one left out."""
+        target = PAIRS[number][1]
+        after = 0
+        for start in heads:
+            if start < after:
+                continue
+            decoder = codecs.getincrementaldecoder("utf-8")()
+            stop = start
+            for place in range(start, len(text)):
+                if text[place].isascii():
+                    break
+                try:
+                    decoder.decode(text[place].encode(target))
+                except UnicodeError:
+                    break
+                if not decoder.getstate()[0]:
+                    stop = place + 1
+            if stop > start:
+                after = stop
+                yield start, stop
+
+    def _stretches(self, text: str, number: int, hits: list[tuple[int, int]], heads: list[int]) -> Iterator[tuple[int, int]]:
         """Chains of adjoining hits, and the whole non-ASCII runs around them where these turn back too."""
         seen = set()
         hits.sort()
@@ -225,9 +252,14 @@ class Garbled:
             else:
                 chains.append([start, stop])
         for run in self.reach[number].finditer(text):
-            if any(run.start() < c[1] and c[0] < run.end() for c in chains) and run.span() not in seen:
+            headed = bisect_left(heads, run.start()) < bisect_left(heads, run.end())
+            if (headed or any(run.start() < c[1] and c[0] < run.end() for c in chains)) and run.span() not in seen:
                 seen.add(run.span())
                 yield run.span()
+        for start, stop in self._from_heads(text, number, heads):
+            if (start, stop) not in seen:
+                seen.add((start, stop))
+                yield start, stop
         source, target = PAIRS[number]
         if source == "cp1251":
             return  # only whole words say anything

@@ -25,6 +25,33 @@ def test_round_trip(garbled, pair):
     assert fixed == TEXT
 
 
+@pytest.mark.parametrize("target", ["cp949", "gb18030", "big5", "euc-jp"])
+def test_rarer_syllables_through_double_bytes(target):
+    # Mostly rarer than the commonest 150; every pair of them that this encoding can hold.
+    syllables = [c for a in range(0xB0, 0xC9) for b in range(0xA1, 0xFF, 8) if len(c := bytes([a, b]).decode("euc-kr", "ignore")) == 1]
+    garbled = Garbled({c: -6.0 - i / 200 for i, c in enumerate(syllables)})
+    tried = 0
+    for a in syllables:
+        for b in syllables[::7]:
+            try:
+                spoiled = (a + b).encode().decode(target)
+            except UnicodeError:
+                continue
+            if spoiled.encode(target) == (a + b).encode() and len(spoiled) == 3 and not set(spoiled) & set(syllables):
+                tried += 1
+                assert garbled.repair(f"글 {spoiled} 끝") == (f"글 {a}{b} 끝", 1)
+    assert tried > 50
+
+
+def test_rare_words_inside_other_garbled_text(spark):
+    model = {c: -6.0 for c in "의견을수렴합니다중도캠프발표배정"} | {c: -4.0 - i / 100 for i, c in enumerate(map(chr, range(0xB000, 0xB000 + 200)))}
+    garbled = Garbled(model)
+    middle, camp, notice = (w.encode().decode("cp949") for w in ("중도", "캠프", "발표"))
+    assert garbled.repair(f"\ufffd{camp} {notice}\ufffd, {middle}")[0] == "\ufffd캠프 발표\ufffd, 중도"
+    rows = spark.createDataFrame([(1, middle), (2, f"글의 {camp}")], "id long, text string")
+    assert {r.id: r.restored for r in restore_encoding(rows, "text", ["id"], model).collect()} == {1: "중도", 2: "글의 캠프"}
+
+
 def test_text_garbled_twice(garbled):
     spoiled = TEXT.encode().decode("latin-1").encode().decode("latin-1")
     assert garbled.repair(spoiled)[0] == TEXT
