@@ -24,15 +24,10 @@ from pyspark.sql import functions as F
 REPLACEMENT = "\ufffd"
 #: Log frequency of a syllable that the corpus does not have; the same for corpora of any size.
 UNKNOWN = -16.5
-#: Blocks without any of these characters cannot be garbled; tested in the scan, before Python sees a row.
-SUSPECT = (
-    r"[\x{0080}-\x{009F}\x{FFFD}]|\x{00AC}[\x{00AE}-\x{00FF}]|[\x{00A1}-\x{00AB}\x{00AE}-\x{024F}\x{2010}-\x{203A}\x{20AC}\x{2122}\x{02C6}\x{02DC}\x{2500}-\x{259F}\x{2200}-\x{22FF}\x{0370}-\x{03FF}]{2}|[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}][^\x{0000}-\x{007F}]"
-    r"|[A-Za-z][\x{AC00}-\x{D7A3}\x{FF61}-\x{FF9F}\x{4E00}-\x{9FFF}][a-z]|(?:^|[^\x{AC00}-\x{D7A3}])[\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}][a-z]{2}"
-    r"|[\x{FF61}-\x{FF9F}]{2}|[\x{0400}-\x{04FF}][\x{00A0}-\x{00BF}\x{2010}-\x{203A}]|[\x{E000}-\x{F8FF}]|[\x{0530}-\x{0590}\x{0600}-\x{06FF}]{2}"
-)
-
 #: A character that is no ASCII, Hangul or usual sign: one class, so that most texts are passed over fast.
+#: Of texts with no such character only those with a Latin letter turned into one syllable can be garbled (ALONE).
 STRANGE = r"[^\x{0000}-\x{007F}\x{AC00}-\x{D7A3}\x{00AD}\x{00B7}\x{2010}-\x{2014}\x{2018}-\x{201D}\x{2026}\x{203B}]"
+ALONE = r"[\x{AC00}-\x{D7A3}][a-z]|[A-Za-z][\x{AC00}-\x{D7A3}](?![\x{AC00}-\x{D7A3}])"
 
 
 def _windows_1252(data: bytes) -> str:
@@ -70,6 +65,10 @@ def _is_hangul(c: str) -> bool:
     return "\uac00" <= c <= "\ud7a3"
 
 
+def _is_cyrillic(text: str) -> bool:
+    return all("\u0400" <= c <= "\u04ff" for c in text)
+
+
 def _alphabet() -> dict[str, list[str]]:
     """The characters whose garbled forms are precomputed, by kind, from rules alone."""
     standard = lambda leads: [c for lead in leads for trail in range(0xA1, 0xFF) if len(c := bytes([lead, trail]).decode("euc-kr", "ignore")) == 1]
@@ -202,6 +201,9 @@ class Garbled:
                     found.append((start, stop, turned, number))
                     if not done or done[-1][1] <= start:
                         done.append((start, stop))
+        # A Russian word is Hangul by some pairs; it is garbled only beside other text that is so by the same pair.
+        sure = {number for start, stop, _, number in found if not _is_cyrillic(text[start:stop])}
+        found = [f for f in found if f[3] in sure or PAIRS[f[3]][1] in SINGLE or not _is_cyrillic(text[f[0] : f[1]])]
         # Most text explained first; a span that overlaps one that is taken is left out.
         taken: list[tuple[int, int, str, int]] = []
         for item in sorted(found, key=lambda f: (-sum(c > "\x7f" for c in text[f[0] : f[1]]), f[3], f[0])):
@@ -295,7 +297,7 @@ def syllable_model(texts: DataFrame, column: str) -> dict[str, float]:
 
 def garbled_suspects(text: Column) -> Column:
     """A cheap test in the scan that every garbled text passes; null is none."""
-    return text.isNotNull() & (text.rlike(STRANGE) | text.rlike("[\uac00-\ud7a3\u4e00-\u9fff][a-z]")) & text.rlike(SUSPECT)
+    return text.isNotNull() & (text.rlike(STRANGE) | text.rlike(ALONE))
 
 
 _BUILT: dict[int, Garbled] = {}

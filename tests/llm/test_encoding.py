@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from corpusmill.llm.encoding import Garbled, restore_encoding
+from corpusmill.llm.encoding import Garbled, garbled_suspects, restore_encoding
 
 TEXT = "학생회는 기숙사 리모델링과 관련하여 휴학생의 의견을 수렴합니다. 문의 사항은 도서관으로 연락하여 주시기 바랍니다. 신청 기간은 다음과 같이 안내합니다."
 
@@ -52,6 +52,27 @@ def test_rare_words_inside_other_garbled_text(spark):
     assert {r.id: r.restored for r in restore_encoding(rows, "text", ["id"], model).collect()} == {1: "중도", 2: "글의 캠프"}
 
 
+def test_every_pattern_that_is_turned_back_passes_the_scan(spark, garbled):
+    texts = {"Mar\u00c3\u00ada", "citt\u00c3\u00a0", "cos\u00c3\u00ac", "\u00c5\u00a0koda", "a\u00c2\u00a0b", "caf챕 x", "caf챕", "caf챕,"}
+    for pattern in sorted(garbled.automaton)[::3]:
+        texts.update((f"ab {pattern} cd", f"ab{pattern} cd", f"ab {pattern}cd", f"ab {pattern}{pattern}"))
+    # Usual signs alone are correct text, whatever they would turn into.
+    usual = set("\u00ad\u00b7\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201b\u201c\u201d\u2026\u203b")
+    turned = [t for t in sorted(texts) if garbled.repair(t)[0] != t and not {c for c in t if c > "\x7f"} <= usual]
+    assert len(turned) > 1500
+    assert {"Mar\u00c3\u00ada", "a\u00c2\u00a0b", "caf챕 x"} <= set(turned)
+    rows = spark.createDataFrame([(t,) for t in turned], "text string")
+    assert [r.text for r in rows.where(~garbled_suspects(rows.text)).collect()] == []
+
+
+def test_russian_words_are_no_hangul():
+    # 'до' is 핍항 by Big5; beside other words garbled by that pair it is turned back with them.
+    garbled = Garbled({c: -6.0 for c in "핍항글의을신청기간"})
+    assert garbled.repair("открывают набор до 18 December") == ("открывают набор до 18 December", 0)
+    spoiled = "신청 핍항 기간".encode("cp949").decode("big5")
+    assert garbled.repair(spoiled)[0] == "신청 핍항 기간"
+
+
 def test_text_garbled_twice(garbled):
     spoiled = TEXT.encode().decode("latin-1").encode().decode("latin-1")
     assert garbled.repair(spoiled)[0] == TEXT
