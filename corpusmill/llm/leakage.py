@@ -153,30 +153,61 @@ def stretches(item: str, grams: dict[str, list[int]], text: str) -> list[tuple[i
 def chain(found: list[tuple[int, int, int]], reach: int) -> tuple[int, list[tuple[int, int]]]:
     """The largest part of an item covered in order, and the text spans of it.
 
-    Stretches follow each other in the item and in the text, at most ``reach`` characters apart
-    in the text.  Small changes between neighbours count as covered.
+    Stretches follow each other in the item and in the text.  Groups of stretches with at most
+    ``reach`` characters of text from start to start may stand any distance apart if each has a
+    stretch of ``LONG`` characters; what is shorter could be coincidence.  Small changes between
+    neighbours count as covered.
     """
     found = sorted(found, key=lambda f: (f[1], f[0]))
     starts = [f[1] for f in found]
-    best: list[tuple[int, int]] = []
-    top = (0, -1)
+    # Chains that end at a stretch, by what the group they end in has: no long stretch and no group before, a long one, none yet.
+    FIRST, SURE, OPEN = range(3)
+    best: list[tuple[tuple[int, int, int] | None, ...]] = []
+    top = (0, (-1, FIRST))
+    #: The best sure chain out of reach that ends up to a place of the item, as a tree of maxima.
+    far = [(0, -1)] * (max((p + n for p, _, n in found), default=0) + 1)
+    passed = sure = 0
     for k, (place, at, length) in enumerate(found):
-        value, before = length, -1
-        for j in range(bisect_left(starts, at - reach), k):
+        near = bisect_left(starts, at - reach)
+        for j in range(passed, near):
+            if best[j][SURE] is not None:
+                sure += 1
+                end = found[j][0] + found[j][2]
+                while end < len(far):
+                    far[end] = max(far[end], (best[j][SURE][0], j))
+                    end += end & -end
+        passed = max(passed, near)
+        is_long = length >= LONG
+        states: list[tuple[int, int, int] | None] = [None, None, None]
+        states[SURE if is_long else FIRST] = (length, -1, FIRST)
+        if sure:
+            for cut in range(length):
+                end, before = place + cut, (0, -1)
+                while end > 0:
+                    before = max(before, far[end])
+                    end -= end & -end
+                kind = SURE if is_long else OPEN
+                if before[1] >= 0 and (states[kind] is None or before[0] + length - cut > states[kind][0]):
+                    states[kind] = (before[0] + length - cut, before[1], SURE)
+        for j in range(near, k):
             p, a, n = found[j]
             over = max(0, p + n - place, a + n - at)
             if p >= place or a >= at or over >= length:
                 continue
             gap_item, gap_text = place - p - n, at - a - n
             bridged = gap_item if 0 < gap_item <= BRIDGE and gap_text <= 2 * BRIDGE else 0
-            if best[j][0] + length - over + bridged > value:
-                value, before = best[j][0] + length - over + bridged, j
-        best.append((value, before))
-        top = max(top, (value, k))
-    spans, k = [], top[1]
+            for kind, ends in enumerate(best[j]):
+                to = SURE if is_long else kind
+                if ends is not None and (states[to] is None or ends[0] + length - over + bridged > states[to][0]):
+                    states[to] = (ends[0] + length - over + bridged, j, kind)
+        best.append(tuple(states))
+        for kind in (FIRST, SURE):
+            if states[kind] is not None:
+                top = max(top, (states[kind][0], (k, kind)))
+    spans, (k, kind) = [], top[1]
     while k >= 0:
         spans.append((found[k][1], found[k][1] + found[k][2]))
-        k = best[k][1]
+        _, k, kind = best[k][kind]
     return top[0], spans[::-1]
 
 

@@ -39,6 +39,16 @@ def test_own_order_counts():
     assert leaked(" ".join(quarters[::-1])) == []
 
 
+def test_stretches_far_apart():
+    words = ITEMS[8][1].split()
+    filler = "Nothing of this kind is in any of them. " * 400
+    assert leaked(f"{' '.join(words[:18])} {filler} {' '.join(words[30:48])}") == [8]
+    assert leaked(f"{' '.join(words[:10])} {filler} {' '.join(words[20:30])} {filler} {' '.join(words[40:52])}") == [8]
+    assert leaked(f"{' '.join(words[30:48])} {filler} {' '.join(words[:18])}") == []
+    # Scattered words alone are coincidence.
+    assert leaked(filler.join(words)) == []
+
+
 def test_form_does_not_matter():
     words = ITEMS[5][1].split()
     assert leaked("<p>" + "</p>\n<p>".join(" ".join(words[i : i + 9]).upper() for i in range(0, 60, 9)) + "</p>") == [5]
