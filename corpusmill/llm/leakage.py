@@ -1,8 +1,8 @@
 """Evaluation texts inside training text.
 
 The normalised items are one generalised suffix automaton.  Every document is streamed through
-it once, a character at a time, and the longest match at each place is tracked; maximal matches
-name the items that may have leaked.  For these the matching stretches are chained in the item's
+it once, a character at a time, and the longest match at each place is tracked; the short matches
+that end there, in whatever items, name the items that may have leaked.  For these the matching stretches are chained in the item's
 own order, and a document gives an item away when the chain covers enough of it.
 """
 
@@ -14,15 +14,17 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Shortest match that counts as a stretch, in normalised characters.
 SEED = 6
-#: Shortest match in the automaton that makes an item a candidate, and the share of the item that such matches must have.
+#: Shortest match that is no coincidence wherever it stands.
 LONG = 14
-CANDIDATE_SHARE = 0.2
+#: Share of an item in matches of that length from which small changes between stretches count as covered; below it only what stands there unchanged counts.
+LONG_SHARE = 0.2
 #: Share of an item that makes it leaked.
 COVERAGE = 0.5
 #: A change between two stretches counts as part of what is reproduced up to this many characters.
@@ -63,6 +65,9 @@ class Automaton:
     def __init__(self, texts: list[str]) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length, self.mask = [-1], [0], [0]
+        self.texts = texts
+        #: What :meth:`candidates` needs, made when it is first called.
+        self.grams: tuple[list[int], dict[int, np.ndarray], list[int]] | None = None
         for number, text in enumerate(texts):
             last = 0
             for c in text:
@@ -122,17 +127,57 @@ class Automaton:
         if size >= least:
             yield size, state
 
+    def _grams(self) -> tuple[list[int], dict[int, np.ndarray], list[int]]:
+        """The state of the last ``SEED`` characters for every state, the places of these in all items, and where items start."""
+        short = [0] * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            if self.length[state] >= SEED:
+                short[state] = short[self.link[state]] or state
+        places: dict[int, list[int]] = {}
+        starts, at = [], 0
+        for text in self.texts:
+            starts.append(at)
+            state = 0
+            for i, c in enumerate(text):
+                state = self.next[state][c]
+                if short[state]:
+                    places.setdefault(short[state], []).append(at + i + 1 - SEED)
+            # So far apart that no gap between two items can be bridged.
+            at += len(text) + SEED + BRIDGE + 1
+        return short, {state: np.array(p) for state, p in places.items()}, starts
+
     def candidates(self, text: str, sizes: list[int]) -> list[int]:
-        """Numbers of the items of which long matches make up enough."""
-        total: dict[int, int] = {}
-        for size, state in self.matches(text, LONG):
-            mask = self.mask[state]
-            while mask:
-                low = mask & -mask
-                number = low.bit_length() - 1
-                total[number] = total.get(number, 0) + size
-                mask ^= low
-        return sorted(n for n, matched in total.items() if matched >= CANDIDATE_SHARE * sizes[n])
+        """Numbers of the items that ``text`` may give away: no chain in the item's order can cover more than counted here.
+
+        At every place of the text all items count that have its last ``SEED`` characters, whether or not a longer match is
+        another item's.  An item's part is what these cover, and the gaps between that are short enough to be bridged.
+        """
+        if self.grams is None:
+            self.grams = self._grams()
+        short, places, starts = self.grams
+        moves, link, lengths = self.next, self.link, self.length
+        state = size = 0
+        met = set()
+        for c in text:
+            to = moves[state].get(c)
+            while to is None and state > 0:
+                state = link[state]
+                size = lengths[state]
+                to = moves[state].get(c)
+            if to is None:
+                size = 0
+                continue
+            state = to
+            size += 1
+            if size >= SEED:
+                met.add(short[state])
+        if not met:
+            return []
+        found = np.sort(np.concatenate([places[g] for g in met]))
+        steps = np.append(np.diff(found), SEED + BRIDGE + 1)
+        parts = np.where(steps <= SEED + BRIDGE, steps, SEED)
+        total = np.bincount(np.searchsorted(starts, found, "right") - 1, parts, len(sizes))
+        return [int(n) for n in np.flatnonzero(total >= COVERAGE * np.array(sizes))]
 
 
 def stretches(item: str, grams: dict[str, list[int]], text: str) -> list[tuple[int, int, int]]:
@@ -150,13 +195,13 @@ def stretches(item: str, grams: dict[str, list[int]], text: str) -> list[tuple[i
     return found
 
 
-def chain(found: list[tuple[int, int, int]], reach: int) -> tuple[int, list[tuple[int, int]]]:
+def chain(found: list[tuple[int, int, int]], reach: int, bridge: int = BRIDGE) -> tuple[int, list[tuple[int, int]]]:
     """The largest part of an item covered in order, and the text spans of it.
 
     Stretches follow each other in the item and in the text.  Groups of stretches with at most
     ``reach`` characters of text from start to start may stand any distance apart if each has a
-    stretch of ``LONG`` characters; what is shorter could be coincidence.  Small changes between
-    neighbours count as covered.
+    stretch of ``LONG`` characters; what is shorter could be coincidence.  Changes of up to ``bridge``
+    characters between neighbours count as covered.
     """
     found = sorted(found, key=lambda f: (f[1], f[0]))
     starts = [f[1] for f in found]
@@ -195,7 +240,7 @@ def chain(found: list[tuple[int, int, int]], reach: int) -> tuple[int, list[tupl
             if p >= place or a >= at or over >= length:
                 continue
             gap_item, gap_text = place - p - n, at - a - n
-            bridged = gap_item if 0 < gap_item <= BRIDGE and gap_text <= 2 * BRIDGE else 0
+            bridged = gap_item if 0 < gap_item <= bridge and gap_text <= 2 * bridge else 0
             for kind, ends in enumerate(best[j]):
                 to = SURE if is_long else kind
                 if ends is not None and (states[to] is None or ends[0] + length - over + bridged > states[to][0]):
@@ -236,6 +281,12 @@ class Leaks:
             self.grams[item] = grams
         return self.grams[item]
 
+    def covered(self, item: str, plain: str) -> tuple[int, list[tuple[int, int]]]:
+        """How many characters of ``item`` the normalised text ``plain`` reproduces, and its spans."""
+        found = stretches(item, self._index(item), plain)
+        long = sum(n for _, n in {(at, n) for _, at, n in found if n >= LONG})
+        return chain(found, 4 * len(item), BRIDGE if long >= LONG_SHARE * len(item) else 0)
+
     def of(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int]]]]:
         """``(item id, coverage, spans of the text)`` of every item that ``text`` gives away."""
         if not text:
@@ -245,7 +296,7 @@ class Leaks:
         for automaton, items in self.passes:
             for number in automaton.candidates(plain, [len(n) for _, n in items]):
                 item_id, item = items[number]
-                covered, spans = chain(stretches(item, self._index(item), plain), 4 * len(item))
+                covered, spans = self.covered(item, plain)
                 if covered >= COVERAGE * len(item):
                     found.append((item_id, covered / len(item), [(places[a], places[b - 1] + 1) for a, b in spans]))
         return found

@@ -5,7 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusmill.llm.leakage import Automaton, Leaks, find_leaks, held_out, normalised, without_spans
+from corpusmill.llm.leakage import COVERAGE, Automaton, Leaks, find_leaks, held_out, normalised, without_spans
 
 WORDS = [f"{a}{b}" for a in ("bran", "cor", "dor", "el", "fen", "gar", "hal", "lor") for b in ("ter", "lin", "mos", "vek", "pad", "zun", "rik", "hob")]
 
@@ -49,6 +49,27 @@ def test_stretches_far_apart():
     assert leaked(filler.join(words)) == []
 
 
+def test_items_inside_longer_matches_of_others():
+    words = item(100, 90).split()
+    inner, outer, shared = " ".join(words[30:60]), " ".join(words), " ".join([*words[:25], *item(101, 20).split()])
+    leaks = Leaks([(1, inner), (2, outer), (3, shared)])
+    assert [i for i, _, _ in leaks.of(f"x {outer} y")] == [1, 2, 3]
+
+
+def test_changes_every_dozen_letters():
+    plain = normalised(ITEMS[9][1])[0]
+    copy = "".join(c if i % 12 else "ß" for i, c in enumerate(plain))
+    assert leaked(copy) == [9]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=6, max_size=60), min_size=1, max_size=5), st.text(alphabet="abc", max_size=80))
+def test_no_item_that_a_chain_accepts_is_left_out(texts, text):
+    leaks = Leaks(list(enumerate(texts)))
+    every = [i for i, t in enumerate(texts) if leaks.covered(t, text)[0] >= COVERAGE * len(t)]
+    assert [i for i, _, _ in leaks.of(text)] == every
+
+
 def test_form_does_not_matter():
     words = ITEMS[5][1].split()
     assert leaked("<p>" + "</p>\n<p>".join(" ".join(words[i : i + 9]).upper() for i in range(0, 60, 9)) + "</p>") == [5]
