@@ -1,31 +1,39 @@
 """The main body of a page.
 
 Lines are scored by a linear model over their words and form, positive for the text of the post
-and negative for what surrounds it, with weights from labelled lines.  A linear scan then takes
-the regions with the largest total score.  One region would also take in what the site puts into
-the post, so the scan looks for the best set of regions, of which each but the first costs
-``REGION_COST``: a break as strong as that is cut out, a weaker one is bridged.
+and negative for what surrounds it.  The labels it learns from come from the data: what stands on
+the pages of many posts and in no text that is known to be clean is the site's, a line that is the
+title of another post with something around it is a link, and clean lines are text.  A linear scan
+then takes the regions with the largest total score.  One region would also take in what the site
+puts into the post, so the scan looks for the best set of regions, of which each but the first
+costs ``REGION_COST``: a break as strong as that is cut out, a weaker one is bridged.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.labelled_lines import AROUND, POST
-
 BITS = 18
-REGION_COST = 1.0
-#: Titles of other posts that are made into examples of links, and long lines into examples of text.
-MOST_TITLES = 3_000
-MOST_LINES = 6_000
+REGION_COST = 3.0
+#: In how many posts a line has to stand to be taken for the site's.
+LEAST_POSTS = 5
+#: Labelled rows that are fitted on at most: lines of the site and clean lines (those of the most posts, and as many
+#: clean ones with the smallest hashes), rare lines among which links are looked for, and pages whose lines the first
+#: model labels (smallest hashes).
+MOST_AROUND, MOST_CLEAN, MOST_RARE, MOST_PAGES = 6_000, 6_000, 12_000, 2_000
+#: Words before and after the title in a line that links to a post, and the shortest title.
+BEFORE, AFTER, LEAST_TITLE = 3, 2, 8
+#: A line that is text by its form alone; only used where no clean texts are given.
 LONG_LINE = 45
 #: The most one line can say for or against being text.
 LIMIT = 6.0
@@ -39,7 +47,13 @@ def shape(line: str) -> str:
     return _DIGITS.sub("0", " ".join(line.split()))
 
 
-def features(line: str) -> list[int]:
+def shaped(line: Column) -> Column:
+    """:func:`shape` as an expression."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r"(?U)\s+", " "), r"(?U)\d+", "0"))
+
+
+@lru_cache(maxsize=60_000)
+def features(line: str) -> tuple[int, ...]:
     """Hashed features of a shaped line: tokens, pairs, beginnings and ends of words, form."""
     tokens = _TOKEN.findall(line.lower())
     words = [t for t in tokens if t[0].isalnum()]
@@ -55,7 +69,7 @@ def features(line: str) -> list[int]:
     found.add(f"ends {line[-1:] if line[-1:] in '.?!])' else 'open'}")
     if size >= LONG_LINE and line[-1:] in ".?!":
         found.add("sentence")
-    return [crc32(f.encode()) & ((1 << BITS) - 1) for f in found]
+    return tuple(crc32(f.encode()) & ((1 << BITS) - 1) for f in sorted(found))
 
 
 @dataclass
@@ -65,30 +79,68 @@ class LineModel:
 
     def score(self, line: str) -> float:
         """Positive for text of the post, negative for what surrounds it."""
-        picked = self.weights[features(line)]
+        picked = self.weights[list(features(line))]
         return float(np.clip(picked.sum() + self.bias, -LIMIT, LIMIT))
 
 
-def train(titles: list[str], lines: list[str]) -> LineModel:
-    """Weights from the labelled lines, from titles in the forms links have, and from long lines of pages.
+@dataclass
+class Labels:
+    """Shaped lines: the site's and text with the number of posts they stand in, and links; and pages without labels."""
+
+    around: dict[str, int]
+    links: list[str]
+    text: dict[str, int]
+    pages: list[list[str]] = field(default_factory=list)
+
 
-    A long line that the labelled lines alone call the site's is not used.
+def _half(line: str) -> int:
+    return crc32(line.encode()) // 7 % 2
+
+
+def train(labels: Labels) -> LineModel:
+    """Weights from labels that may be wrong.
+
+    A line of the site whose words speak for text, by the model of the other half of these lines, and that
+    mostly stands between two lines of text on the pages, is no label.  The model is then fitted once more
+    with the lines of the pages as the linear scan divides them.
     """
-    labelled = [(shape(line), 1.0, 8.0) for line in POST] + [(shape(line), 0.0, 8.0) for line in AROUND]
-    forms = ("이전글 {}", "다음글 {}", "Previous: {}", "Next: {}", "7. {}", "{} (31)", "- {}", "· {}")
-    links = [(shape(forms[i % len(forms)].format(t)), 0.0, 1.0) for i, t in enumerate(titles) if t and t.strip()]
-    first = _fit(labelled + links)
-    long = sorted({s for line in lines if len(s := shape(line)) >= LONG_LINE})
-    return _fit(labelled + links + [(s, 1.0, 1.0) for s in long if first.score(s) > 0])
+    text = [(s, 1.0, float(np.log2(2 + n))) for s, n in labels.text.items()]
+    links = [(s, 0.0, 1.0) for s in labels.links]
+    around = [(s, 0.0, float(np.log2(1 + n))) for s, n in labels.around.items()]
+    if not text or not around:
+        return _fit(text + links + around)
+    wrong: set[str] = set()
+    for half in (0, 1):
+        model = _fit([a for a in around if _half(a[0]) != half] + links + text, steps=100)
+        doubted = {s for s, _, _ in around if _half(s) == half and model.score(s) > 0}
+        between: dict[str, list[bool]] = defaultdict(list)
+        for page in labels.pages:
+            for i, s in enumerate(page):
+                if s in doubted:
+                    between[s].append(0 < i < len(page) - 1 and model.score(page[i - 1]) > 0 and model.score(page[i + 1]) > 0)
+        wrong.update(s for s in doubted if not between[s] or sum(between[s]) * 2 > len(between[s]))
+    sure = [a for a in around if a[0] not in wrong] + links + text
+    first = _fit(sure)
+    known = {s for s, _, _ in sure}
+    said: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for page in labels.pages:
+        for s, kept in zip(page, best_regions([first.score(s) for s in page]), strict=True):
+            if s not in known:
+                said[s][kept] += 1
+    return _fit(sure + [(s, float(inside > outside), 1.0) for s, (outside, inside) in said.items() if inside != outside])
 
 
 def _fit(examples: list[tuple[str, float, float]], steps: int = 200, speed: float = 0.3) -> LineModel:
+    """Logistic regression; both labels weigh the same in all.  Without both labels every line is text."""
+    if len({y for _, y, _ in examples}) < 2:
+        return LineModel(np.zeros(1 << BITS), 1.0)
     lists = [np.array(features(line)) for line, _, _ in examples]
     y, weight = np.array([e[1] for e in examples]), np.array([e[2] for e in examples])
     for label in (0.0, 1.0):
-        weight[y == label] /= max(weight[y == label].sum(), 1e-9) * 2
-    columns, rows = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(f) for f in lists])
-    dim = 1 << BITS
+        weight[y == label] /= weight[y == label].sum() * 2
+    used, columns = np.unique(np.concatenate(lists), return_inverse=True)
+    rows = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
+    dim = len(used)
     w, b, squares, square = np.zeros(dim), 0.0, np.full(dim, 1e-10), 1e-10
     for _ in range(steps):
         margin = np.bincount(rows, weights=w[columns], minlength=len(lists)) + b
@@ -98,7 +150,9 @@ def _fit(examples: list[tuple[str, float, float]], steps: int = 200, speed: floa
         square += error.sum() ** 2
         w -= speed * grad / np.sqrt(squares)
         b -= speed * error.sum() / np.sqrt(square)
-    return LineModel(w, b)
+    weights = np.zeros(1 << BITS)
+    weights[used] = w
+    return LineModel(weights, b)
 
 
 def best_regions(scores: list[float], cost: float = REGION_COST) -> list[bool]:
@@ -127,15 +181,77 @@ def best_regions(scores: list[float], cost: float = REGION_COST) -> list[bool]:
     return keep
 
 
-def learn(posts: DataFrame, content: str = "content", title: str = "title") -> LineModel:
-    """The model for these pages; titles and long lines are bounded samples by hash."""
-    few = lambda rows, column, most: [r[0] for r in rows.where(F.col(column).isNotNull()).select(column).distinct().orderBy(F.xxhash64(column), column).limit(most).collect()]
-    titles = few(posts.select(F.col(title).alias("t")), "t", MOST_TITLES)
-    pages = few(posts.where(F.length(content) > LONG_LINE).select(F.substring(F.md5(F.col(content)), 1, 32).alias("h")).distinct(), "h", MOST_LINES // 4)
-    chosen = posts.sparkSession.createDataFrame([(h,) for h in pages], "h string")
-    texts = posts.select(F.col(content).alias("c"), F.md5(F.col(content)).alias("h")).join(F.broadcast(chosen), "h").select("c").distinct()
-    lines = few(texts.select(F.explode(F.split("c", "\n")).alias("l")).where(F.length("l") >= LONG_LINE), "l", MOST_LINES)
-    return train(titles, lines)
+def _lines(rows: DataFrame, column: str, post: Column) -> DataFrame:
+    """``(line, post)``: the shaped lines of every text, each once a text."""
+    split = F.array_distinct(F.transform(F.split(F.col(column), "\n"), shaped))
+    return rows.where(F.col(column).isNotNull()).select(F.explode(split).alias("line"), post.alias("post")).where(F.col("line") != "")
+
+
+def line_statistics(posts: DataFrame, content: str, key: str, clean: DataFrame | None, text: str) -> DataFrame:
+    """``(h, posts, low, high, clean)`` of every line, by the hash of its shape, over all pages and all clean texts.
+
+    ``posts`` counts the posts a line stands in, ``low`` and ``high`` are the smallest and largest of their hashes,
+    ``clean`` says whether a clean text has the line.  Only hashes are shuffled, and pairs of line and post are
+    counted in each task first, so a line that stands on every page is no hot key.
+    """
+    pairs = _lines(posts, content, F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))).select(F.xxhash64("line").alias("h"), "post")
+    if clean is not None:
+        pairs = pairs.unionByName(_lines(clean, text, F.lit(None).cast("long")).select(F.xxhash64("line").alias("h"), "post"))
+    once = pairs.groupBy("h", "post").agg(F.lit(1).alias("one"))
+    return once.groupBy("h").agg(F.count("post").alias("posts"), F.min("post").alias("low"), F.max("post").alias("high"), F.bool_or(F.col("post").isNull()).alias("clean"))
+
+
+def _titles_in(line: str) -> list[str]:
+    """What could be a title in a line that has something before or behind it."""
+    words = line.split()
+    cuts = [(a, b) for a in range(BEFORE + 1) for b in range(AFTER + 1) if 0 < a + b < len(words)]
+    return [t for a, b in cuts if len(t := " ".join(words[a : len(words) - b])) >= LEAST_TITLE]
+
+
+def learn_labels(posts: DataFrame, content: str = "content", title: str = "title", key: str = "post_no", clean: DataFrame | None = None, text: str = "text") -> Labels:
+    """Labelled lines from the pages, their titles and texts known to be clean.
+
+    Counts cover all rows; of the lines they label, bounded samples are taken.  Without clean
+    texts, long lines that end like a sentence and stand in one post only are text.
+    """
+    spark = posts.sparkSession
+    counted = line_statistics(posts, content, key, clean, text).persist()
+    try:
+        first = lambda rows, most, *order: [tuple(r) for r in rows.select("h", "posts", "low", "high").orderBy(*order, "h").limit(most).collect()]
+        often = F.col("posts") >= LEAST_POSTS
+        around = first(counted.where(often & ~F.col("clean")), MOST_AROUND, F.col("posts").desc())
+        common = first(counted.where(often & F.col("clean")), MOST_CLEAN // 2, F.col("posts").desc())
+        known = first(counted.where(F.col("clean")), MOST_CLEAN)
+        rare = first(counted.where(~often & ~F.col("clean")), MOST_RARE)
+    finally:
+        counted.unpersist()
+    wanted = spark.createDataFrame(sorted({(r[0],) for r in (*around, *common, *known, *rare)}), "h long")
+    lines = _lines(posts, content, F.lit(None).cast("long"))
+    if clean is not None:
+        lines = lines.unionByName(_lines(clean, text, F.lit(None).cast("long")))
+    found = lines.select(F.xxhash64("line").alias("h"), "line").join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("line").alias("line"))
+    name = {r["h"]: r["line"] for r in found.collect()}
+
+    parts = {name[h]: (low, high, _titles_in(name[h])) for h, _, low, high in rare}
+    asked = spark.createDataFrame(sorted({(t,) for _, _, ts in parts.values() for t in ts}), "t string")
+    titles = posts.where(F.col(title).isNotNull()).select(shaped(F.col(title)).alias("t"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("post"))
+    owners = {r["t"]: (r["low"], r["high"]) for r in titles.join(F.broadcast(asked), "t").groupBy("t").agg(F.min("post").alias("low"), F.max("post").alias("high")).collect()}
+    links = [line for line, (low, high, ts) in parts.items() if any(t in owners and owners[t] != (low, high) for t in ts)]
+
+    pages = posts.where(F.length(content) > 0).select(F.xxhash64(content).alias("h")).distinct().orderBy("h").limit(MOST_PAGES)
+    texts = posts.select(F.col(content).alias("c"), F.xxhash64(content).alias("h")).join(F.broadcast(pages), "h").groupBy("h").agg(F.min("c").alias("c")).orderBy("h")
+    shapes = [[s for line in r["c"].split("\n") if (s := shape(line))] for r in texts.collect()]
+
+    plain = {name[h]: n for h, n, _, _ in (*known, *common)}
+    if clean is None:
+        others = set(links)
+        plain = {s: 1 for h, n, _, _ in rare if n == 1 and len(s := name[h]) >= LONG_LINE and s[-1:] in ".?!" and s not in others}
+    return Labels({name[h]: n for h, n, _, _ in around}, links, plain, shapes)
+
+
+def learn(posts: DataFrame, content: str = "content", title: str = "title", key: str = "post_no", clean: DataFrame | None = None, text: str = "text") -> LineModel:
+    """The model for these pages."""
+    return train(learn_labels(posts, content, title, key, clean, text))
 
 
 def line_labels(posts: DataFrame, keys: list[str], content: str, model: LineModel) -> DataFrame:

@@ -38,7 +38,9 @@ def p3_restored(spark: SparkSession, root: str) -> DataFrame:
 
 def _pages(spark: SparkSession, root: str) -> DataFrame:
     posts = table(spark, root, "notice_posts")
-    return boilerplate.line_labels(posts, ["capture_id"], "content", boilerplate.learn(posts))
+    # Board comments aside, documents are texts without pages around them.
+    clean = table(spark, root, "documents").where("doc_kind is null or doc_kind != 'comment'")
+    return boilerplate.line_labels(posts, ["capture_id"], "content", boilerplate.learn(posts, clean=clean))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

@@ -5,14 +5,48 @@ import itertools
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from corpusmill.llm.boilerplate import REGION_COST, best_regions, learn, line_labels, train
+from corpusmill.llm.boilerplate import REGION_COST, Labels, best_regions, learn, learn_labels, line_labels, shape, shaped, train
 
-PAGE = "본문 바로가기\n대학소개 | 입학안내 | 학사정보\nHOME > 열린마당 > 공지사항\n\n신청 기간은 2024. 10. 15.(금)부터이며 13:00 이후 접수분은 인정하지 않습니다.\n문의: 학사지원팀 내선 1234\n많이 본 글\n3. 라온울 특강 참가자 모집 공고\n심사는 서류 23점과 면접 54점을 합산하여 고득점자 순으로 진행합니다.\n이전글 앞선 글이 없습니다\n(c) 2024 HAERIM UNIVERSITY"
+NOUNS = ["harbour", "orchard", "telescope", "violin", "granite", "meadow", "lantern", "compass", "saddle", "thimble", "walnut", "anchor"]
+VERBS = ["opens", "closes", "moves", "begins", "ends", "changes"]
+TOP = ["Main menu open", "Home > News", "Cookies help us count visitors. OK"]
+INSIDE = "Share this page: mail, print"
+BOTTOM = ["Visitors today: {n}", "Contact | Imprint | Sitemap", "(c) 2020 Town council"]
+
+
+def sentence(k: int) -> str:
+    a, b, v = NOUNS[k % 12], NOUNS[k // 12 % 12], VERBS[k // 5 % 6]
+    return f"The {a} exhibition {v} on day {k} and everyone with a {b} is welcome to join us there."
+
+
+def title(k: int) -> str:
+    return f"Notice about the {NOUNS[k % 12]} and the {NOUNS[k // 12 % 12]} that {VERBS[k % 6]}"
+
+
+def page(k: int) -> tuple[str, list[int]]:
+    """A page and the numbers of the lines that the site puts around the text."""
+    lines = [(line, True) for line in TOP[: 1 + k % 3]]
+    lines += [(sentence(3 * k), False), ("Please read the attached file before you apply.", False), (f"Places: {k}", False)]
+    if k % 2:
+        lines.append((INSIDE, True))
+    lines += [("", False), (sentence(3 * k + 1), False), (f"Next: {title(k + 1)}", True)]
+    lines += [(line.format(n=k * 31), True) for line in BOTTOM]
+    return "\n".join(line for line, _ in lines), [i for i, (_, around) in enumerate(lines, 1) if around]
+
+
+@pytest.fixture(scope="module")
+def site(spark):
+    rows = [(100 * r + k, k, title(k), page(k)[0], "clash") for k in range(60) for r in (0, 1)]
+    posts = spark.createDataFrame(rows, "capture_id long, post_no long, title string, content string, body string")
+    texts = ["\n".join([sentence(1000 + 7 * k), "Please read the attached file before you apply.", f"Places: {k}"]) for k in range(80)]
+    clean = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    return posts, clean
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(-4, 4), max_size=9))
+@given(st.lists(st.integers(-9, 9), max_size=9))
 def test_regions_against_every_choice(scores):
     def value(keep):
         regions = sum(1 for i, k in enumerate(keep) if k and (i == 0 or not keep[i - 1]))
@@ -22,23 +56,56 @@ def test_regions_against_every_choice(scores):
     assert value(best_regions([float(s) for s in scores])) == pytest.approx(best)
 
 
-def test_page_with_the_site_inside():
-    model = train(["라온울 특강 참가자 모집 공고", "한결뜰 캠프 안내"], [])
-    lines = PAGE.split("\n")
-    from corpusmill.llm.boilerplate import shape
+def test_labels_come_from_the_data(site):
+    posts, clean = site
+    labels = learn_labels(posts, clean=clean)
+    assert set(labels.around) == {*(shape(x) for x in TOP), INSIDE, *(shape(x.format(n=1)) for x in BOTTOM)}
+    assert labels.around[shape(BOTTOM[1])] == 60  # posts, not sightings
+    assert all(line.startswith("Next: ") for line in labels.links) and len(labels.links) > 5
+    assert "Please read the attached file before you apply." in labels.text and "Places: 0" in labels.text
+    assert not set(labels.text) & (set(labels.around) | set(labels.links))
 
-    keep = best_regions([model.score(shape(line)) for line in lines if line.strip()])
-    kept = [line for line, k in zip([x for x in lines if x.strip()], keep, strict=True) if k]
-    assert kept == [lines[4], lines[5], lines[8]]
 
+def test_pages_against_what_was_put_around(site):
+    posts, clean = site
+    got = {r.capture_id: r.around for r in line_labels(posts, ["capture_id"], "content", learn(posts, clean=clean)).collect()}
+    said = {(c, n) for c, ns in got.items() for n in ns}
+    true = {(c, n) for c in got for n in page(c % 100)[1]}
+    assert len(said & true) / len(true) > 0.97 and len(said & true) / len(said) > 0.97
 
-def test_operator(spark):
-    rows = [(1, PAGE, "t"), (2, None, None), (3, "", "라온울 특강 참가자 모집 공고"), (4, "\n\n", None), (5, ("문의: 학사지원팀 내선 1234\n" * 20_000), None), (1, PAGE, "t")]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "capture_id long, content string, title string, body string")
-    model = learn(df)
+
+def test_lines_that_were_not_labelled(site):
+    """Half of the links and other sentences than the labelled ones are judged by their words."""
+    posts, clean = site
+    labels = learn_labels(posts, clean=clean)
+    model = train(Labels(labels.around, labels.links[::2], labels.text, []))
+    assert all(model.score(s) < 0 for s in labels.links[1::2])
+    assert sum(model.score(shape(sentence(5000 + k))) > 0 for k in range(50)) >= 48
+
+
+def test_without_clean_texts(site):
+    posts, _ = site
+    labels = learn_labels(posts)
+    assert labels.text and all(s.startswith("The ") for s in labels.text)
+    assert line_labels(posts, ["capture_id"], "content", train(labels)).count() == 120
+
+
+def test_odd_rows(spark, site):
+    posts, clean = site
+    model = learn(posts, clean=clean)
+    text = page(4)[0]
+    rows = [(1, text, "t"), (2, None, None), (3, "", "t"), (4, "\n\n", None), (5, f"{sentence(9)}\n" * 20_000, None), (1, text, "t")]
+    df = spark.createDataFrame([(*r, "clash", None) for r in rows], "capture_id long, content string, title string, body string, post_no long")
     found = [(r.capture_id, r.around) for r in line_labels(df, ["capture_id"], "content", model).collect()]
     by_id = dict(found)
-    assert by_id[1] == [1, 2, 3, 7, 8, 10, 11] and len(found) == 5
+    assert len(found) == 5 and by_id[1] == page(4)[1]
     assert by_id[3] == [] and by_id[4] == [] and by_id[5] == []
     assert line_labels(df.limit(0), ["capture_id"], "content", model).count() == 0
-    assert learn(df.limit(0)) is not None
+    # No labels: nothing is told from the text.
+    assert line_labels(df, ["capture_id"], "content", learn(df.limit(0), clean=clean.limit(0))).where(F.size("around") > 0).count() == 0
+
+
+def test_shapes_agree(spark):
+    texts = ["  a\u00a0 b\t12,345 ", "\u3000x\u2003y 7", "\u0661\u0662 z", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(shaped(F.col("t"))).collect()] == [shape(t) for t in texts]
