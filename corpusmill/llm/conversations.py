@@ -1,10 +1,10 @@
 """Rebuilding conversations from message rows.
 
-Rows are sessionized by channel (the chat id): sorted by time, stripped of repeats, split
-into sittings at a calibrated inactivity gap, and dropped when a user is left without a
-reply.  A chat may hold a third of all rows, so nothing here collects a chat: repeats are
-found by time cells, and the alternation of roles is a product of small summaries per
-stretch of time, which are combined in order.
+Rows are sessionized by channel (the chat id): sorted by time, stripped of repeats, split into
+sittings at a calibrated inactivity gap, and dropped when a user is left without a reply, by sitting
+or, where a chat is one dialogue, by chat.  A chat may hold a third of all rows, so nothing here
+collects a chat: repeats are found by time cells, and the alternation of roles is a product of small
+summaries per stretch of time, which are combined in order.
 """
 
 from __future__ import annotations
@@ -13,10 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.session import checkpointed
+
 #: White space, control, format and unassigned characters and the fillers that show nothing.
-INVISIBLE = r"(?U)^[\s\p{Z}\p{C}\u115F\u1160\u3164\uFFA0\u2800]*$"
+INVISIBLE = r"(?U)^[\s\p{Z}\p{C}ᅟᅠㅤﾠ⠀]*$"
 REPEAT_MICROS = 10_000_000
 STRETCH_MICROS = 600_000_000
+#: The inactivity gap is this share of all gaps, and never less than so many seconds (a stretch is shorter).
+GAP_SHARE, LEAST_GAP_SECONDS = 0.99, 1800
+#: Roles in the compact rows; an unknown role, and a row that says nothing but that its chat exists.
+USER, ASSISTANT, FOREIGN, SILENT = 0, 1, 2, 3
 
 
 def clean_role(role: Column) -> Column:
@@ -24,119 +30,187 @@ def clean_role(role: Column) -> Column:
     return F.lower(F.regexp_replace(role, r"(?U)^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", ""))
 
 
-def counting_messages(messages: DataFrame) -> DataFrame:
-    """``(chat_id, id, role, content, at)`` of messages that count: with a chat and visible content."""
-    return messages.where(F.col("chat_id").isNotNull() & F.col("content").isNotNull() & ~F.col("content").rlike(INVISIBLE)).select(
-        "chat_id", "id", clean_role(F.col("role")).alias("role"), "content", F.unix_micros("created_at").alias("at")
-    )
+def _counts() -> Column:
+    return F.col("content").isNotNull() & ~F.col("content").rlike(INVISIBLE)
+
+
+def _role_code() -> Column:
+    role = clean_role(F.col("role"))
+    return F.when(role == "user", USER).when(role == "assistant", ASSISTANT).otherwise(FOREIGN).cast("byte")
+
+
+def _marks(content: str) -> list[Column]:
+    """128 bits of a content."""
+    return [F.xxhash64(content).alias("d1"), F.xxhash64(F.lit("+"), F.col(content)).alias("d2")]
 
 
-def without_repeats(counting: DataFrame) -> DataFrame:
-    """``(chat_id, role, digest, at, id)``: each timed message once.
+def turns_of(messages: DataFrame, infer_roles: bool = False, with_id: bool = True) -> DataFrame:
+    """``(chat_id, role, at, d1, d2[, id])``: each counting message once, and one row for each chat and fault.
 
-    A message is a repeat when the same role said the same in the chat at most ten seconds
-    before (a row that is itself a repeat counts as before).  Cells of ten seconds make this
-    a matter of at most two cells: of a cell only the earliest message can be new, and it is
-    not when the cell before reaches to within ten seconds.  Of fully equal rows the smallest
-    id stays.
+    ``role`` is 0 for the user, 1 for the assistant; rows with 2 stand for counting messages without a
+    time or with a foreign or missing role, rows with 3 for those that do not count, both without a time.
+    With ``infer_roles`` messages of foreign roles that have a time keep it, for :func:`inferred` to name.
+
+    A message is a repeat when the same role said the same in the chat at most ten seconds before (a row
+    that is itself a repeat counts as before).  Cells of ten seconds make this a matter of two cells:
+    every row is told to its own and to the next one, and of a cell only the earliest can be new.  Of fully
+    equal rows the smallest id stays.  Equal rows are folded in each task before the one shuffle.
     """
+    at = F.unix_micros("created_at")
+    role = _role_code()
+    faulty = at.isNull() if infer_roles else at.isNull() | (role == FOREIGN)
+    read = messages.where(F.col("chat_id").isNotNull()).select("chat_id", "id", F.when(~_counts(), SILENT).when(faulty, FOREIGN).otherwise(role).cast("byte").alias("role"), _counts().alias("counts"), faulty.alias("faulty"), at.alias("at"), *_marks("content"))
+    timed = F.col("counts") & ~F.col("faulty")
     cell = F.floor(F.col("at") / REPEAT_MICROS)
-    cells = (
-        counting.where(F.col("at").isNotNull())
-        .select("chat_id", "role", F.sha2("content", 256).alias("digest"), "at", "id", cell.alias("cell"))
-        .groupBy("chat_id", "role", "digest", "cell")
-        .agg(F.min(F.struct("at", "id")).alias("first"), F.max("at").alias("last"))
-    )
-    before = cells.select("chat_id", "role", "digest", (F.col("cell") + 1).alias("cell"), F.col("last").alias("reach"))
-    kept = cells.join(before, ["chat_id", "role", "digest", "cell"], "left").where(F.col("reach").isNull() | (F.col("first.at") - F.col("reach") > REPEAT_MICROS))
-    return kept.select("chat_id", "role", "digest", F.col("first.at").alias("at"), F.col("first.id").alias("id"))
+    none = F.lit(None).cast("long")
+    own = F.struct("at", "id") if with_id else F.col("at")
+    nothing = F.lit(None).cast(f"struct<at: bigint, id: {messages.schema['id'].dataType.simpleString()}>") if with_id else none
+    said = lambda role, d1, d2, cell, own, before: F.struct(role.alias("role"), d1.alias("d1"), d2.alias("d2"), cell.alias("cell"), own.alias("own"), before.alias("before"))
+    told = F.when(timed, F.array(said(F.col("role"), F.col("d1"), F.col("d2"), cell, own, none), said(F.col("role"), F.col("d1"), F.col("d2"), cell + 1, nothing, F.col("at")))).otherwise(F.array(said(F.col("role"), none, none, none, nothing, none)))
+    cells = read.select("chat_id", F.explode(told).alias("t")).groupBy("chat_id", "t.role", "t.d1", "t.d2", "t.cell").agg(F.min("t.own").alias("own"), F.max("t.before").alias("before"))
+    first = F.col("own.at") if with_id else F.col("own")
+    kept = cells.where(F.col("cell").isNull() | (first.isNotNull() & (F.col("before").isNull() | (first - F.col("before") > REPEAT_MICROS))))
+    return kept.select("chat_id", "role", first.alias("at"), "d1", "d2", *([F.col("own.id").alias("id")] if with_id else []))
+
+
+def inferred(turns: DataFrame) -> DataFrame:
+    """Turns whose foreign roles are named by their neighbours.
+
+    A message behind a user's or before the user's next one is the assistant's, any other the user's;
+    neighbours are looked for within the stretch, so that no chat is gathered in a task.
+    """
+    along = Window.partitionBy("chat_id", F.floor(F.col("at") / STRETCH_MICROS)).orderBy("at", "role", "d1", "d2")
+    before, after = F.lag("role").over(along), F.lead("role").over(along)
+    named = F.when(before == USER, ASSISTANT).when(before == ASSISTANT, USER).when(after == USER, ASSISTANT).otherwise(USER)
+    return turns.withColumn("role", F.when((F.col("role") == FOREIGN) & F.col("at").isNotNull(), named.cast("byte")).otherwise(F.col("role")))
 
 
-def broken_alternation(turns: DataFrame) -> DataFrame:
-    """``chat_id`` of chats whose first turn is not the user's or where a user turn gets no reply.
+def stretches(turns: DataFrame) -> DataFrame:
+    """``(chat_id, stretch, opens, closes, fault, spoiled, lo, hi, n)`` of every chat and stretch of ten minutes.
 
-    At one instant the user speaks first, so an instant is the pair (users, assistants) and a
-    second user at the same instant leaves the first without reply.  Instants are summed up
-    per stretch of ten minutes and chat as (first role, last role, fault inside), and stretches
-    per chat, each step in time order: the largest group sorted in one task is a stretch or
-    the list of a chat's stretches, never its messages.
+    At one instant the user speaks first, so an instant is the pair (users, assistants), and a second user
+    at the same instant leaves the first without reply.  Rows without a time have a stretch of their own,
+    null, whose ``spoiled`` says whether they count.  One shuffle, by chat and stretch.
     """
-    instants = turns.groupBy("chat_id", "at").agg(F.count(F.when(F.col("role") == "user", 1)).alias("users"), F.count(F.when(F.col("role") == "assistant", 1)).alias("replies"))
+    dealt = turns.select("chat_id", "role", "at", F.floor(F.col("at") / STRETCH_MICROS).alias("stretch")).repartition("chat_id", "stretch")
+    count = lambda role: F.count(F.when(F.col("role") == role, 1))
+    instants = dealt.groupBy("chat_id", "stretch", "at").agg(count(USER).alias("users"), count(ASSISTANT).alias("replies"), count(FOREIGN).alias("foreign"))
     steps = instants.select(
-        "chat_id",
-        "at",
-        F.floor(F.col("at") / STRETCH_MICROS).alias("stretch"),
-        F.when(F.col("users") > 0, "user").otherwise("assistant").alias("opens"),
-        F.when(F.col("replies") > 0, "assistant").otherwise("user").alias("closes"),
-        (F.col("users") > 1).alias("fault"),
+        "*",
+        F.when(F.col("users") > 0, USER).otherwise(ASSISTANT).alias("opens"),
+        F.when(F.col("replies") > 0, ASSISTANT).otherwise(USER).alias("closes"),
     )
-
-    def chained(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-        along = Window.partitionBy(*keys).orderBy(order)
-        unanswered = (F.lag("closes").over(along) == "user") & (F.col("opens") == "user")
-        linked = rows.withColumn("fault", F.col("fault") | F.coalesce(unanswered, F.lit(False)))
-        return linked.groupBy(*keys).agg(F.min_by("opens", order).alias("opens"), F.max_by("closes", order).alias("closes"), F.bool_or("fault").alias("fault"))
-
-    stretches = chained(steps, ["chat_id", "stretch"], "at")
-    chats = chained(stretches, ["chat_id"], "stretch")
-    return chats.where(F.col("fault") | (F.col("opens") == "assistant") | (F.col("closes") == "user")).select("chat_id")
-
-
-def dropped_chats(chats: DataFrame, messages: DataFrame) -> DataFrame:
+    along = Window.partitionBy("chat_id", "stretch").orderBy("at")
+    unanswered = (F.lag("closes").over(along) == USER) & (F.col("opens") == USER)
+    linked = steps.withColumn("fault", (F.col("users") > 1) | F.coalesce(unanswered, F.lit(False)))
+    return linked.groupBy("chat_id", "stretch").agg(
+        F.min_by("opens", "at").alias("opens"), F.max_by("closes", "at").alias("closes"), F.bool_or("fault").alias("fault"), (F.sum("foreign") > 0).alias("spoiled"),
+        F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum(F.col("users") + F.col("replies")).alias("n"),
+    )
+
+
+def sitting_gap(parts: DataFrame, share: float = GAP_SHARE, least_seconds: int = LEAST_GAP_SECONDS) -> int:
+    """The inactivity gap in microseconds beyond which a new sitting begins, from all gaps of all chats.
+
+    The gap that ``share`` of the gaps between neighbouring messages of a chat do not exceed, at least
+    ``least_seconds``.  ``parts`` are :func:`stretches`: gaps within one are shorter than that least and only
+    counted, those between two are measured, so gaps over midnight or over weeks count like any other.
+    They are rounded up to minutes, beyond a day to hours and beyond a hundred days to days, so that the
+    driver gets a few thousand counts whatever the number of chats.
+    """
+    along = Window.partitionBy("chat_id").orderBy("stretch")
+    between = parts.where(F.col("stretch").isNotNull()).select("n", (F.col("lo") - F.lag("hi").over(along)).alias("gap"))
+    minute = 60_000_000
+    unit = F.when(F.col("gap") <= 1440 * minute, minute).when(F.col("gap") <= 144_000 * minute, 60 * minute).otherwise(1440 * minute)
+    rounded = F.when(F.col("gap") > least_seconds * 1_000_000, F.ceil(F.col("gap") / unit) * unit).otherwise(0)
+    bins = between.groupBy(rounded.alias("size")).agg(F.count("gap").alias("between"), F.sum(F.col("n") - 1).alias("within")).collect()
+    counts = {r["size"]: r["between"] for r in bins}
+    counts[0] = counts.get(0, 0) + sum(r["within"] for r in bins)
+    need, found = share * sum(counts.values()), 0
+    for size in sorted(counts):
+        need -= counts[size]
+        found = size
+        if need <= 0:
+            break
+    return max(found, least_seconds * 1_000_000)
+
+
+def sittings(parts: DataFrame, gap_micros: int) -> DataFrame:
+    """``parts`` with ``sitting_no``, which counts the sittings of a chat from 1; rows without a time are with the first."""
+    along = Window.partitionBy("chat_id").orderBy(F.col("stretch").asc_nulls_first())
+    cut = F.coalesce((F.col("lo") - F.lag("hi").over(along) > gap_micros).cast("int"), F.lit(0))
+    return parts.withColumn("cut", cut).withColumn("sitting_no", F.sum("cut").over(along) + 1)
+
+
+def _chained(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Summaries of neighbouring times put together in order: the first role, the last, and whether a user was left."""
+    along = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first())
+    unanswered = (F.lag("closes").over(along) == USER) & (F.col("opens") == USER)
+    linked = rows.withColumn("fault", F.coalesce(F.col("fault"), F.lit(False)) | F.coalesce(unanswered, F.lit(False)))
+    return linked.groupBy(*keys).agg(
+        F.min_by("opens", F.when(F.col("opens").isNotNull(), F.col(order))).alias("opens"), F.max_by("closes", F.when(F.col("closes").isNotNull(), F.col(order))).alias("closes"),
+        F.bool_or("fault").alias("fault"), F.bool_or("spoiled").alias("spoiled"), F.bool_or("known").alias("known"), F.sum("n").alias("n"),
+    )
+
+
+def judged(chats: DataFrame, parts: DataFrame, gap_micros: int, by: str = "chat") -> DataFrame:
+    """``(chat_id[, sitting_no], drop)``: which chats, or with ``by="sitting"`` which sittings, are to be dropped.
+
+    Sittings are told apart first.  A sitting is broken when it is opened by the assistant or leaves a user
+    without reply; where a chat is one dialogue its sittings are joined in order, so that a late reply
+    counts.  A chat that ``chats`` does not have, or with a faulty row, is dropped with all its sittings.
+    Everything by chat is one shuffle of summaries.
+    """
+    known = chats.where(F.col("id").isNotNull()).select(F.col("id").alias("chat_id"), F.lit(True).alias("known"))
+    rows = sittings(parts.withColumn("known", F.lit(False)).unionByName(known, allowMissingColumns=True), gap_micros)
+    each = _chained(rows, ["chat_id", "sitting_no"], "stretch")
+    broken = F.coalesce(F.col("n"), F.lit(0)) == 0
+    broken = broken | F.col("fault") | (F.col("opens") == ASSISTANT) | (F.col("closes") == USER)
+    if by == "chat":
+        whole = _chained(each, ["chat_id"], "sitting_no")
+        return whole.select("chat_id", (broken | F.coalesce(F.col("spoiled"), F.lit(False)) | ~F.col("known")).alias("drop"))
+    if by != "sitting":
+        raise ValueError(f"by is chat or sitting, not {by}")
+    chat = Window.partitionBy("chat_id")
+    return each.select("chat_id", "sitting_no", (broken | F.coalesce(F.max("spoiled").over(chat), F.lit(False)) | ~F.max("known").over(chat)).alias("drop"))
+
+
+def dropped_chats(chats: DataFrame, messages: DataFrame, gap_micros: int | None = None, infer_roles: bool = False) -> DataFrame:
     """``chat_id`` of every chat to leave out, each once.
 
     Taken from both tables together: chats without a row in ``chats``, without a counting
     message, with a counting message that has no time or a role other than user or assistant,
-    opened by the assistant, or with a user message that is left unanswered.  Rows without any
-    chat id name no chat and yield nothing; chats stored twice count once; empty tables give
-    an empty result.
+    opened by the assistant, or with a user message that is left unanswered.  With ``infer_roles``
+    missing and foreign roles are named by their neighbours instead.  Rows without any chat id name
+    no chat and yield nothing; chats stored twice count once; empty tables give an empty result.
+    Messages are read once.
     """
-    known = chats.select(F.col("id").alias("chat_id")).where(F.col("chat_id").isNotNull()).distinct()
-    named = messages.select("chat_id").where(F.col("chat_id").isNotNull()).distinct()
-    counting = counting_messages(messages)
-    spoiled = counting.groupBy("chat_id").agg(F.bool_or(F.col("at").isNull() | ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))).alias("spoiled"))
-    turns = without_repeats(counting.where(F.col("role").isin("user", "assistant")))
-    orphans = named.join(known, "chat_id", "left_anti")
-    silent = known.join(spoiled, "chat_id", "left_anti")
-    return orphans.union(silent).union(spoiled.where("spoiled").select("chat_id")).union(broken_alternation(turns)).distinct()
+    turns = turns_of(messages, infer_roles, with_id=False)
+    parts = checkpointed(stretches(inferred(turns) if infer_roles else turns))
+    found = judged(chats, parts, sitting_gap(parts) if gap_micros is None else gap_micros)
+    return found.where("drop").select("chat_id")
 
 
-def sitting_gap(turns: DataFrame, percentile: float = 0.99, least_seconds: int = 1800) -> int:
-    """The inactivity gap in microseconds beyond which a new sitting begins.
+def dialogues(chats: DataFrame, messages: DataFrame, gap_micros: int | None = None, infer_roles: bool = False, by: str = "chat") -> DataFrame:
+    """``(chat_id, turn_no, sitting_no, role, content, id)``: the chats, or sittings, that stay, in order.
 
-    Calibrated on the data: the given percentile of the gaps between neighbouring messages of
-    a chat, at least ``least_seconds``.  Gaps are measured within stretches of time, as above.
+    ``turn_no`` counts the turns of a chat from 1 by time, at one instant the user first, then by id.  A new
+    ``sitting_no`` starts after an inactivity gap (:func:`sitting_gap`, when none is given).  Positions are
+    offsets of stretches plus positions within, so no task ever holds a whole chat.
     """
-    along = Window.partitionBy("chat_id", F.floor(F.col("at") / (144 * STRETCH_MICROS))).orderBy("at")
-    gaps = turns.select((F.col("at") - F.lag("at").over(along)).alias("gap")).where(F.col("gap").isNotNull())
-    found = gaps.agg(F.percentile_approx("gap", percentile)).first()[0]
-    return max(int(found or 0), least_seconds * 1_000_000)
-
-
-def dialogues(chats: DataFrame, messages: DataFrame, gap_micros: int | None = None) -> DataFrame:
-    """``(chat_id, turn_no, sitting_no, role, content, id)``: the chats that stay, in order.
-
-    ``turn_no`` counts from 1 by time, at one instant the user first, then by id.  A new
-    ``sitting_no`` starts after an inactivity gap (``sitting_gap``); it never drops anything,
-    for a chat is one dialogue.  Positions are offsets of stretches plus positions within, so
-    no task ever holds a whole chat.
-    """
-    counting = counting_messages(messages)
-    turns = without_repeats(counting.where(F.col("role").isin("user", "assistant")))
-    kept = turns.join(dropped_chats(chats, messages), "chat_id", "left_anti")
+    turns = turns_of(messages, infer_roles)
+    turns = checkpointed(inferred(turns) if infer_roles else turns)
+    parts = checkpointed(stretches(turns))
     if gap_micros is None:
-        gap_micros = sitting_gap(kept)
-    kept = kept.withColumn("stretch", F.floor(F.col("at") / STRETCH_MICROS))
-    inside = Window.partitionBy("chat_id", "stretch").orderBy("at", F.col("role").desc(), "id")
-    placed = kept.select("*", F.row_number().over(inside).alias("place"), F.coalesce((F.col("at") - F.lag("at").over(inside) > gap_micros).cast("int"), F.lit(0)).alias("jump"))
-    placed = placed.withColumn("jumps", F.sum("jump").over(inside))
-    per = placed.groupBy("chat_id", "stretch").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("jump").alias("inner"))
-    along = Window.partitionBy("chat_id").orderBy("stretch")
-    per = per.withColumn("cut", F.coalesce((F.col("lo") - F.lag("hi").over(along) > gap_micros).cast("int"), F.lit(0)))
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    offsets = per.select("chat_id", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), (F.coalesce(F.sum("inner").over(earlier), F.lit(0)) + F.sum("cut").over(upto)).alias("sit_base"))
-    numbered = placed.join(offsets, ["chat_id", "stretch"]).select("chat_id", "id", "role", "digest", (F.col("base") + F.col("place")).alias("turn_no"), (F.col("sit_base") + F.col("jumps") + 1).alias("sitting_no"))
-    texts = counting.select("chat_id", "id", "role", F.sha2("content", 256).alias("digest"), "content").dropDuplicates(["chat_id", "id", "role", "digest"])
-    same = [F.col("n.chat_id") == F.col("t.chat_id"), F.col("n.id").eqNullSafe(F.col("t.id")), F.col("n.role") == F.col("t.role"), F.col("n.digest") == F.col("t.digest")]
-    return numbered.alias("n").join(texts.alias("t"), same).select("n.chat_id", "turn_no", "sitting_no", "n.role", "t.content", "n.id")
+        gap_micros = sitting_gap(parts)
+    timed = sittings(parts.where(F.col("stretch").isNotNull()), gap_micros)
+    kept = timed.join(judged(chats, parts, gap_micros, by).where(~F.col("drop")), ["chat_id"] if by == "chat" else ["chat_id", "sitting_no"])
+    earlier = Window.partitionBy("chat_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept.select("chat_id", "stretch", "sitting_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = turns.where(F.col("at").isNotNull()).withColumn("stretch", F.floor(F.col("at") / STRETCH_MICROS)).join(offsets, ["chat_id", "stretch"])
+    inside = Window.partitionBy("chat_id", "stretch").orderBy("at", "role", "id", "d1", "d2")
+    numbered = placed.select("chat_id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "id", "role", "d1", "d2", (F.col("base") + F.row_number().over(inside)).alias("turn_no"), "sitting_no")
+    same = ["chat_id", "key", "d1", "d2"]
+    texts = messages.where(F.col("chat_id").isNotNull() & _counts()).select("chat_id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), *_marks("content"), "content").groupBy(*same).agg(F.first("content").alias("content"))
+    role = F.when(F.col("role") == USER, "user").otherwise("assistant")
+    return numbered.join(texts, same).select("chat_id", "turn_no", "sitting_no", role.alias("role"), "content", "id")

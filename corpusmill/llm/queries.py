@@ -145,6 +145,31 @@ UNION SELECT chat_id FROM bad
 UNION SELECT chat_id FROM s WHERE (place = 1 AND role = 'assistant') OR (role = 'user' AND following IS DISTINCT FROM 'assistant')
 """
 
+P5_DIALOGUES_SQL = (
+    "WITH dropped AS ("
+    + P5_SQL
+    + r"""),
+m AS (
+  SELECT chat_id, id, content, epoch_us(created_at) AS ts, lower(regexp_replace(role, '^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$', '', 'g')) AS role
+  FROM chat_messages
+  WHERE chat_id IS NOT NULL AND content IS NOT NULL AND created_at IS NOT NULL AND NOT regexp_full_match(content, '[\s\p{Z}\p{C}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}]*')
+),
+t AS (SELECT *, lag(ts) OVER (PARTITION BY chat_id, role, content ORDER BY ts, id) AS before FROM m WHERE role IN ('user', 'assistant')),
+u AS (SELECT * FROM t WHERE before IS NULL OR ts - before > 10000000),
+g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY chat_id ORDER BY ts, role DESC, id) AS gap FROM u),
+z AS (
+  SELECT CASE WHEN gap <= 1800000000 THEN 0 WHEN gap <= 86400000000 THEN ceil(gap / 60000000)::BIGINT * 60000000
+    WHEN gap <= 8640000000000 THEN ceil(gap / 3600000000)::BIGINT * 3600000000 ELSE ceil(gap / 86400000000)::BIGINT * 86400000000 END AS size
+  FROM g WHERE gap IS NOT NULL
+),
+k AS (SELECT size, row_number() OVER (ORDER BY size) AS place, count(*) OVER () AS total FROM z),
+b AS (SELECT greatest(coalesce(min(size), 0), 1800000000) AS bound FROM k WHERE place >= 0.99 * total)
+SELECT chat_id, row_number() OVER w AS turn_no, 1 + sum(CASE WHEN gap > bound THEN 1 ELSE 0 END) OVER w AS sitting_no, role, content, id
+FROM g, b WHERE chat_id NOT IN (SELECT chat_id FROM dropped)
+WINDOW w AS (PARTITION BY chat_id ORDER BY ts, role DESC, id ROWS UNBOUNDED PRECEDING)
+"""
+)
+
 P6_SQL = """
 WITH b AS (SELECT prep_id, unnest(blocks) AS item, generate_subscripts(blocks, 1) AS item_no FROM preprocessed),
 c AS (SELECT prep_id, unnest(chunks) AS item FROM preprocessed)
@@ -172,4 +197,4 @@ QUERIES = {
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_containers": p8_containers,
     "p7_found": p7_found, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
-ORACLES = {"p5_found": P5_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
+ORACLES = {"p5_found": P5_SQL, "p5_dialogues": P5_DIALOGUES_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}

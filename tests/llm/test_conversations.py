@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from corpusmill.llm.conversations import dialogues, dropped_chats
+from corpusmill.llm.conversations import dialogues, dropped_chats, sitting_gap, stretches, turns_of
 
 MESSAGE = "id string, chat_id string, role string, content string, created_at timestamp, at string, digest string"
 T0 = dt.datetime(2025, 1, 1)
@@ -90,3 +90,33 @@ def test_dialogues_are_ordered_and_complete(spark):
 def test_empty_tables(spark):
     assert dropped(spark, [], []) == []
     assert dialogues(*tables(spark, [], [])).count() == 0
+
+
+def test_gaps_over_midnight_are_measured(spark):
+    rows = []
+    for k in range(40):
+        rows += chat(f"c{k}", [("user", "q", 0), ("assistant", "a", 5), ("user", "r", 5 + 86_000 + 60 * k), ("assistant", "b", 5 + 86_010 + 60 * k)])
+    _, messages = tables(spark, [], rows)
+    gap = sitting_gap(stretches(turns_of(messages)), share=0.9) / 1e6
+    # A third of all gaps is about a day long.
+    assert 86_000 + 60 * 26 <= gap <= 86_000 + 60 * 40 + 3600
+    assert sitting_gap(stretches(turns_of(messages)), share=0.5) == 1_800_000_000
+
+
+def test_late_replies_by_chat_and_by_sitting(spark):
+    rows = chat("a", [("user", "q", 0), ("assistant", "r", 90_000), ("user", "s", 90_010), ("assistant", "t", 90_020)])
+    made = tables(spark, ["a"], rows)
+    assert dialogues(*made, gap_micros=3_600_000_000).count() == 4
+    assert dialogues(*made, gap_micros=3_600_000_000, by="sitting").count() == 0
+    rows += chat("b", [("user", "q", 0), ("assistant", "r", 5), ("user", "lost", 90_000)])
+    made = tables(spark, ["a", "b"], rows)
+    assert sorted((r.chat_id, r.content) for r in dialogues(*made, gap_micros=3_600_000_000, by="sitting").collect()) == [("b", "q"), ("b", "r")]
+
+
+def test_inferred_roles(spark):
+    rows = chat("a", [("user", "q", 0), (None, "r", 5), ("system", "s", 9), ("assistant", "t", 12)]) + chat("b", [(None, "q", 0), ("assistant", "r", 4)])
+    made = tables(spark, ["a", "b"], rows)
+    assert sorted(r[0] for r in dropped_chats(*made).collect()) == ["a", "b"]
+    assert dropped_chats(*made, infer_roles=True).count() == 0
+    found = sorted((r.chat_id, r.turn_no, r.role) for r in dialogues(*made, infer_roles=True).collect())
+    assert found == [("a", 1, "user"), ("a", 2, "assistant"), ("a", 3, "user"), ("a", 4, "assistant"), ("b", 1, "user"), ("b", 2, "assistant")]
