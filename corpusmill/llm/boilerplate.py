@@ -20,6 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ LEAST_POSTS = 5
 #: Labelled rows that are fitted on at most: lines of the site and clean lines (those of the most posts, and as many
 #: clean ones with the smallest hashes), rare lines among which links are looked for, and pages whose lines the first
 #: model labels (smallest hashes).
-MOST_AROUND, MOST_CLEAN, MOST_RARE, MOST_PAGES = 6_000, 6_000, 12_000, 2_000
+MOST_AROUND, MOST_CLEAN, MOST_RARE, MOST_PAGES = 6_000, 6_000, 10_000, 2_000
 #: Words before and after the title in a line that links to a post, and the shortest title.
 BEFORE, AFTER, LEAST_TITLE = 3, 2, 8
 #: A line that is text by its form alone; only used where no clean texts are given.
@@ -208,6 +209,12 @@ def _titles_in(line: str) -> list[str]:
     return [t for a, b in cuts if len(t := " ".join(words[a : len(words) - b])) >= LEAST_TITLE]
 
 
+def _spark_hash(text: str) -> int:
+    """``F.xxhash64`` of a string."""
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def learn_labels(posts: DataFrame, content: str = "content", title: str = "title", key: str = "post_no", clean: DataFrame | None = None, text: str = "text") -> Labels:
     """Labelled lines from the pages, their titles and texts known to be clean.
 
@@ -232,9 +239,9 @@ def learn_labels(posts: DataFrame, content: str = "content", title: str = "title
     found = lines.select(F.xxhash64("line").alias("h"), "line").join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("line").alias("line"))
     name = {r["h"]: r["line"] for r in found.collect()}
 
-    parts = {name[h]: (low, high, _titles_in(name[h])) for h, _, low, high in rare}
-    asked = spark.createDataFrame(sorted({(t,) for _, _, ts in parts.values() for t in ts}), "t string")
-    titles = posts.where(F.col(title).isNotNull()).select(shaped(F.col(title)).alias("t"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("post"))
+    parts = {name[h]: (low, high, [_spark_hash(t) for t in _titles_in(name[h])]) for h, _, low, high in rare}
+    asked = spark.createDataFrame(sorted({(t,) for _, _, ts in parts.values() for t in ts}), "t long")
+    titles = posts.where(F.col(title).isNotNull()).select(F.xxhash64(shaped(F.col(title))).alias("t"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("post"))
     owners = {r["t"]: (r["low"], r["high"]) for r in titles.join(F.broadcast(asked), "t").groupBy("t").agg(F.min("post").alias("low"), F.max("post").alias("high")).collect()}
     links = [line for line, (low, high, ts) in parts.items() if any(t in owners and owners[t] != (low, high) for t in ts)]
 

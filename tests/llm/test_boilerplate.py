@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.llm.boilerplate import REGION_COST, Labels, best_regions, learn, learn_labels, line_labels, shape, shaped, train
+from corpusmill.llm.boilerplate import REGION_COST, Labels, _spark_hash, best_regions, learn, learn_labels, line_labels, shape, shaped, train
 
 NOUNS = ["harbour", "orchard", "telescope", "violin", "granite", "meadow", "lantern", "compass", "saddle", "thimble", "walnut", "anchor"]
 VERBS = ["opens", "closes", "moves", "begins", "ends", "changes"]
@@ -109,3 +109,4 @@ def test_shapes_agree(spark):
     texts = ["  a\u00a0 b\t12,345 ", "\u3000x\u2003y 7", "\u0661\u0662 z", "plain"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(shaped(F.col("t"))).collect()] == [shape(t) for t in texts]
+    assert [r[0] for r in df.select(F.xxhash64("t")).collect()] == [_spark_hash(t) for t in texts]
