@@ -1,9 +1,12 @@
 """Evaluation texts inside training text.
 
-The normalised items are one generalised suffix automaton.  Every document is streamed through
-it once, a character at a time, and the longest match at each place is tracked; the short matches
-that end there, in whatever items, name the items that may have leaked.  For these the matching stretches are chained in the item's
-own order, and a document gives an item away when the chain covers enough of it.
+Every document is turned into its sequence of letters and digits.  All of its sequences of ``SEED``
+characters are looked up at once among those of the held-out items, which gives for each item an upper
+bound of what the document can reproduce of it; only items that reach the limit by that bound are gone
+into.  These are added to one generalised suffix automaton, the document is streamed through it a
+character at a time, and the longest match at every place is tracked.  Inside the matches the stretches
+of each item are chained in the item's own order, and a document gives an item away when the chain
+covers enough of it.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,59 +33,74 @@ LONG_SHARE = 0.2
 COVERAGE = 0.5
 #: A change between two stretches counts as part of what is reproduced up to this many characters.
 BRIDGE = 14
-#: Items beyond this many characters in all are matched in several passes, so that the automaton stays small.
-PASS_CHARS = 2_000_000
+#: Items of fewer characters have no half that is more than a few letters; they are leaked where they stand as a whole, in words of their own.
+WHOLE = 2 * SEED
+#: The automaton of a worker starts anew beyond this many characters of items.
+AUTOMATON_CHARS = 250_000
 
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
+_ENTITY = re.compile(r"&#?\w{1,8};")
 _NOT_TEXT = re.compile(r"[\W_]+")
+_LETTER = re.compile(r"[^\W_]")
+_CLUSTER = regex.compile(r"\X")
 
 
-def normalised(text: str) -> tuple[str, list[int]]:
-    """Letters and digits of ``text``, composed and in lower case, and where each stands in it.
+def _unmarked(text: str) -> str:
+    """``text`` with tags blanked and entities read, of the same length."""
+    if "<" in text:
+        text = _TAG.sub(lambda m: " " * len(m.group()), text)
+    if "&" in text:
+        text = _ENTITY.sub(lambda m: html.unescape(m.group())[:1].ljust(len(m.group())), text)
+    return text
+
+
+def plain(text: str) -> str:
+    """Letters and digits of ``text``, composed and in lower case.
 
     Tags, entities, punctuation and white space count for nothing, so that reflowed, quoted or
     marked-up copies look alike.
     """
+    return _NOT_TEXT.sub("", unicodedata.normalize("NFKC", _unmarked(text)).lower())
+
+
+def normalised(text: str) -> tuple[str, list[int]]:
+    """:func:`plain` and where each of its characters stands in ``text``."""
+    bare = _unmarked(text)
+    low = bare.lower()
+    if len(low) == len(bare) and unicodedata.is_normalized("NFKC", bare):
+        places = [m.start() for m in _LETTER.finditer(low)]
+        return "".join([low[i] for i in places]), places
+    whole = plain(text)
     out, places = [], []
-    blank = text
-    if "<" in blank:
-        blank = _TAG.sub(lambda m: " " * len(m.group()), blank)
-    if "&" in blank:
-        blank = re.sub(r"&#?\w{1,8};", lambda m: html.unescape(m.group())[:1].ljust(len(m.group())), blank)
-    # Runs are normalised as wholes, since decomposed letters compose only together.
-    for run in re.finditer(r"[^\W_]+(?:[̀-ͯᄀ-ᇿ]+[^\W_]*)*", blank):
-        plain = unicodedata.normalize("NFKC", run.group()).lower()
-        start, length = run.start(), run.end() - run.start()
-        for i, c in enumerate(plain):
-            if c.isalnum():
-                out.append(c)
-                places.append(start + (i if len(plain) == length else i * length // len(plain)))
-    return "".join(out), places
+    for cluster in _CLUSTER.finditer(bare):
+        kept = _NOT_TEXT.sub("", unicodedata.normalize("NFKC", cluster.group()).lower())
+        start, length = cluster.span()[0], cluster.end() - cluster.start()
+        out.append(kept)
+        places += [start + min(i, length - 1) if len(kept) == length else start + i * length // len(kept) for i in range(len(kept))]
+    if "".join(out) == whole:
+        return whole, places
+    # Marks that compose over the borders of clusters, or letters whose small form depends on their neighbours.
+    return whole, [i * len(text) // max(len(whole), 1) for i in range(len(whole))]
 
 
 class Automaton:
-    """A generalised suffix automaton; ``mask`` of a state has a bit for each item it occurs in."""
+    """A generalised suffix automaton that texts can be added to at any time."""
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length, self.mask = [-1], [0], [0]
-        self.texts = texts
-        #: What :meth:`candidates` needs, made when it is first called.
-        self.grams: tuple[list[int], dict[int, np.ndarray], list[int]] | None = None
-        for number, text in enumerate(texts):
-            last = 0
-            for c in text:
-                last = self._extend(last, c)
-                self.mask[last] |= 1 << number
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] > 0:
-                self.mask[self.link[state]] |= self.mask[state]
+        self.link, self.length = [-1], [0]
+        self.size = 0
+
+    def add(self, text: str) -> None:
+        self.size += len(text)
+        last = 0
+        for c in text:
+            last = self._extend(last, c)
 
     def _add(self, moves: dict[str, int], length: int, link: int) -> int:
         self.next.append(moves)
         self.length.append(length)
         self.link.append(link)
-        self.mask.append(0)
         return len(self.next) - 1
 
     def _split(self, p: int, c: str, q: int) -> int:
@@ -108,14 +127,14 @@ class Automaton:
         return made
 
     def matches(self, text: str, least: int) -> Iterator[tuple[int, int]]:
-        """``(length, state)`` of every match of ``least`` characters or more that no neighbour extends."""
+        """``(start, end)`` in ``text`` of every match of ``least`` characters or more that no neighbour extends."""
         moves, link, lengths = self.next, self.link, self.length
         state = size = 0
-        for c in text:
+        for at, c in enumerate(text):
             to = moves[state].get(c)
             if to is None:
                 if size >= least:
-                    yield size, state
+                    yield at - size, at
                 while to is None and state > 0:
                     state = link[state]
                     to = moves[state].get(c)
@@ -125,73 +144,81 @@ class Automaton:
                 state = to
                 size += 1
         if size >= least:
-            yield size, state
-
-    def _grams(self) -> tuple[list[int], dict[int, np.ndarray], list[int]]:
-        """The state of the last ``SEED`` characters for every state, the places of these in all items, and where items start."""
-        short = [0] * len(self.link)
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            if self.length[state] >= SEED:
-                short[state] = short[self.link[state]] or state
-        places: dict[int, list[int]] = {}
-        starts, at = [], 0
-        for text in self.texts:
-            starts.append(at)
-            state = 0
-            for i, c in enumerate(text):
-                state = self.next[state][c]
-                if short[state]:
-                    places.setdefault(short[state], []).append(at + i + 1 - SEED)
-            # So far apart that no gap between two items can be bridged.
-            at += len(text) + SEED + BRIDGE + 1
-        return short, {state: np.array(p) for state, p in places.items()}, starts
-
-    def candidates(self, text: str, sizes: list[int]) -> list[int]:
+            yield len(text) - size, len(text)
+
+
+_STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grams(text: str) -> np.ndarray:
+    """A 64-bit hash of every sequence of ``SEED`` characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < SEED:
+        return np.zeros(0, np.uint64)
+    value = codes[: len(codes) - SEED + 1].copy()
+    for n in range(1, SEED):
+        value = value * _STEP + codes[n : len(codes) - SEED + 1 + n]
+    value *= _MIX
+    return value ^ (value >> np.uint64(29))
+
+
+class Index:
+    """All sequences of ``SEED`` characters of the items, as sorted arrays."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        # Items so far apart that no gap between two of them can be bridged.
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + SEED + BRIDGE + 1)[:-1]]).astype(np.int64) if texts else np.zeros(0, np.int64)
+        hashes = [_grams(t) for t in texts]
+        places = np.concatenate([at + np.arange(len(h)) for at, h in zip(self.starts, hashes, strict=True)]) if texts else np.zeros(0, np.int64)
+        flat = np.concatenate(hashes) if texts else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.places = places[order]
+        self.keys, self.first = np.unique(flat[order], return_index=True)
+        self.last = np.append(self.first[1:], len(flat))
+        bits = max(16, int(len(self.keys) * 16).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[self.keys >> self.shift] = True
+
+    def candidates(self, text: str) -> list[int]:
         """Numbers of the items that ``text`` may give away: no chain in the item's order can cover more than counted here.
 
-        At every place of the text all items count that have its last ``SEED`` characters, whether or not a longer match is
-        another item's.  An item's part is what these cover, and the gaps between that are short enough to be bridged.
+        An item's part is what the sequences met cover of it, and the gaps between that are short enough to be bridged.
         """
-        if self.grams is None:
-            self.grams = self._grams()
-        short, places, starts = self.grams
-        moves, link, lengths = self.next, self.link, self.length
-        state = size = 0
-        met = set()
-        for c in text:
-            to = moves[state].get(c)
-            while to is None and state > 0:
-                state = link[state]
-                size = lengths[state]
-                to = moves[state].get(c)
-            if to is None:
-                size = 0
-                continue
-            state = to
-            size += 1
-            if size >= SEED:
-                met.add(short[state])
-        if not met:
+        if not len(self.keys):
+            return []
+        met = _grams(text)
+        met = np.unique(met[self.seen[met >> self.shift]])
+        at = np.searchsorted(self.keys, met)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == met]
+        if not len(at):
             return []
-        found = np.sort(np.concatenate([places[g] for g in met]))
+        counts = self.last[at] - self.first[at]
+        ends = np.cumsum(counts)
+        found = np.sort(self.places[np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - counts), counts)])
         steps = np.append(np.diff(found), SEED + BRIDGE + 1)
         parts = np.where(steps <= SEED + BRIDGE, steps, SEED)
-        total = np.bincount(np.searchsorted(starts, found, "right") - 1, parts, len(sizes))
-        return [int(n) for n in np.flatnonzero(total >= COVERAGE * np.array(sizes))]
+        items = np.searchsorted(self.starts, found, "right") - 1
+        begin = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
+        owners = items[begin]
+        return owners[np.add.reduceat(parts, begin) >= COVERAGE * self.sizes[owners]].tolist()
 
 
-def stretches(item: str, grams: dict[str, list[int]], text: str) -> list[tuple[int, int, int]]:
-    """``(item place, text place, length)`` of all common stretches of ``SEED`` characters or more."""
+def stretches(item: str, grams: dict[str, list[int]], text: str, inside: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """``(item place, text place, length)`` of all common stretches of ``SEED`` characters or more, within the parts ``inside`` of the text."""
     found, covered = [], {}
-    for at in range(len(text) - SEED + 1):
-        for place in grams.get(text[at : at + SEED], ()):
-            if covered.get(place - at, -1) > at:
-                continue
-            end = SEED
-            while place + end < len(item) and at + end < len(text) and item[place + end] == text[at + end]:
-                end += 1
-            covered[place - at] = at + end
-            found.append((place, at, end))
+    for start, stop in [(0, len(text))] if inside is None else inside:
+        for at in range(start, stop - SEED + 1):
+            for place in grams.get(text[at : at + SEED], ()):
+                if covered.get(place - at, -1) > at:
+                    continue
+                end = SEED
+                while place + end < len(item) and at + end < len(text) and item[place + end] == text[at + end]:
+                    end += 1
+                covered[place - at] = at + end
+                found.append((place, at, end))
     return found
 
 
@@ -260,46 +287,83 @@ class Leaks:
     """The items, ready to be looked for."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        clean = [(i, n) for i, t in items if t and (n := normalised(t)[0])]
-        self.passes: list[tuple[Automaton, list[tuple[int, str]]]] = []
-        part, size = [], 0
-        for item in clean:
-            if part and size + len(item[1]) > PASS_CHARS:
-                self.passes.append((Automaton([n for _, n in part]), part))
-                part, size = [], 0
-            part.append(item)
-            size += len(item[1])
-        if part:
-            self.passes.append((Automaton([n for _, n in part]), part))
+        clean = [(i, n) for i, t in items if t and (n := plain(t))]
+        self.items = [(i, n) for i, n in clean if len(n) >= WHOLE]
+        self.index = Index([n for _, n in self.items])
+        self.automaton, self.added = Automaton(), set()
         self.grams: dict[str, dict[str, list[int]]] = {}
+        self.short = None
+        if len(self.items) < len(clean):
+            import ahocorasick
+
+            self.short = ahocorasick.Automaton()
+            by_text: dict[str, list[int]] = {}
+            for i, n in clean:
+                if len(n) < WHOLE:
+                    by_text.setdefault(n, []).append(i)
+            for n, ids in by_text.items():
+                self.short.add_word(n, (len(n), ids))
+            self.short.make_automaton()
 
     def _index(self, item: str) -> dict[str, list[int]]:
         if item not in self.grams:
+            if len(self.grams) > 10_000:
+                self.grams.clear()
             grams: dict[str, list[int]] = {}
             for i in range(len(item) - SEED + 1):
                 grams.setdefault(item[i : i + SEED], []).append(i)
             self.grams[item] = grams
         return self.grams[item]
 
-    def covered(self, item: str, plain: str) -> tuple[int, list[tuple[int, int]]]:
-        """How many characters of ``item`` the normalised text ``plain`` reproduces, and its spans."""
-        found = stretches(item, self._index(item), plain)
+    def covered(self, item: str, text: str, inside: list[tuple[int, int]] | None = None) -> tuple[int, list[tuple[int, int]]]:
+        """How many characters of ``item`` the normalised ``text`` reproduces, and its spans."""
+        found = stretches(item, self._index(item), text, inside)
         long = sum(n for _, n in {(at, n) for _, at, n in found if n >= LONG})
         return chain(found, 4 * len(item), BRIDGE if long >= LONG_SHARE * len(item) else 0)
 
+    def _matched(self, numbers: list[int], text: str) -> list[tuple[int, int]]:
+        """The parts of ``text`` that stand in the items, by the automaton; those that overlap put together."""
+        if self.automaton.size > AUTOMATON_CHARS:
+            self.automaton, self.added = Automaton(), set()
+        for number in numbers:
+            if number not in self.added:
+                self.added.add(number)
+                self.automaton.add(self.items[number][1])
+        parts: list[tuple[int, int]] = []
+        for start, end in sorted(self.automaton.matches(text, SEED)):
+            if parts and start <= parts[-1][1]:
+                parts[-1] = (parts[-1][0], max(end, parts[-1][1]))
+            else:
+                parts.append((start, end))
+        return parts
+
     def of(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int]]]]:
         """``(item id, coverage, spans of the text)`` of every item that ``text`` gives away."""
         if not text:
             return []
-        plain, places = normalised(text)
+        whole = plain(text)
+        numbers = self.index.candidates(whole)
+        hits = [(end + 1 - n, end + 1, ids) for end, (n, ids) in self.short.iter(whole)] if self.short else []
+        if not numbers and not hits:
+            return []
         found = []
-        for automaton, items in self.passes:
-            for number in automaton.candidates(plain, [len(n) for _, n in items]):
-                item_id, item = items[number]
-                covered, spans = self.covered(item, plain)
-                if covered >= COVERAGE * len(item):
-                    found.append((item_id, covered / len(item), [(places[a], places[b - 1] + 1) for a, b in spans]))
-        return found
+        inside = self._matched(numbers, whole) if numbers else []
+        for number in numbers:
+            item_id, item = self.items[number]
+            covered, spans = self.covered(item, whole, inside)
+            if covered >= COVERAGE * len(item):
+                found.append((item_id, covered / len(item), spans))
+        if not found and not hits:
+            return []
+        _, places = normalised(text)
+        alone = lambda at: not 0 <= at < len(text) or not text[at].isalnum()
+        short: dict[int, list[tuple[int, int]]] = {}
+        for a, b, ids in hits:
+            if alone(places[a] - 1) and alone(places[b - 1] + 1):
+                for i in ids:
+                    short.setdefault(i, []).append((a, b))
+        found += [(i, 1.0, spans) for i, spans in short.items()]
+        return [(i, c, [(places[a], places[b - 1] + 1) for a, b in spans]) for i, c, spans in found]
 
 
 def find_leaks(documents: DataFrame, items: list[tuple[int, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,7 +392,7 @@ _BUILT: dict[int, Leaks] = {}
 
 
 def _leaks(items: list[tuple[int, str]]) -> Leaks:
-    """The automaton, built once in a worker."""
+    """The index and automaton, built once in a worker."""
     key = hash(tuple(items))
     if key not in _BUILT:
         _BUILT.clear()
@@ -336,7 +400,7 @@ def _leaks(items: list[tuple[int, str]]) -> Leaks:
     return _BUILT[key]
 
 
-def held_out(items: DataFrame, most_chars: int = 200_000_000) -> list[tuple[int, str]]:
+def held_out(items: DataFrame, most_chars: int = 30_000_000) -> list[tuple[int, str]]:
     """The held-out items, on the driver; refused when they are not the small set they should be."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > most_chars:

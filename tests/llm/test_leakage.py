@@ -63,7 +63,7 @@ def test_changes_every_dozen_letters():
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(alphabet="ab", min_size=6, max_size=60), min_size=1, max_size=5), st.text(alphabet="abc", max_size=80))
+@given(st.lists(st.text(alphabet="ab", min_size=12, max_size=60), min_size=1, max_size=5), st.text(alphabet="abc", max_size=80))
 def test_no_item_that_a_chain_accepts_is_left_out(texts, text):
     leaks = Leaks(list(enumerate(texts)))
     every = [i for i, t in enumerate(texts) if leaks.covered(t, text)[0] >= COVERAGE * len(t)]
@@ -91,30 +91,66 @@ def test_spans_can_be_removed():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="abc", min_size=1, max_size=12), min_size=1, max_size=4), st.text(alphabet="abcd", max_size=30))
 def test_automaton_against_substring_search(texts, text):
-    automaton = Automaton(texts)
-    found = set()
-    for size, state in automaton.matches(text, 1):
-        found.add((size, frozenset(i for i in range(len(texts)) if automaton.mask[state] >> i & 1)))
+    automaton = Automaton()
+    for t in texts:
+        automaton.add(t)
     expected = set()
     for end in range(1, len(text) + 1):
         size = max((end - s for s in range(end) if any(text[s:end] in t for t in texts)), default=0)
         more = end < len(text) and size and any(text[end - size : end + 1] in t for t in texts)
         if size and not more:
-            expected.add((size, frozenset(i for i, t in enumerate(texts) if text[end - size : end] in t)))
-    assert found == expected
+            expected.add((end - size, end))
+    assert set(automaton.matches(text, 1)) == expected
+
+
+def test_short_items_stand_as_a_whole():
+    for size in range(1, 21):
+        word = "".join(chr(97 + (7 * k + size) % 26) for k in range(size))
+        leaks = Leaks([(1, word), (2, "quite another thing altogether")])
+        assert [(i, c) for i, c, _ in leaks.of(f"It says: {word}, you see.")] == [(1, 1.0)], size
+        assert leaks.of("Nothing of it.") == []
+        if size < 12:
+            assert leaks.of(f"It says: x{word}, you see.") == []
+        else:
+            assert [i for i, _, _ in leaks.of(f"It says: {word[: (size + 1) // 2]} you see.")] == ([1] if size // 2 >= 6 else [])
+    assert [s for _, _, s in Leaks([(1, "ab cd")]).of("x AB-cd y ab cd")] == [[(2, 7), (10, 15)]]
+
+
+def test_many_items_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    many = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrst", k=6)) for _ in range(11))) for i in range(20_000)]
+    tracemalloc.start()
+    leaks = Leaks(many)
+    found = [i for i, _, _ in leaks.of(f"x {many[77][1]} y {many[19_999][1]}")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 1.3 million characters of items; 100,000 items of this size take five times as much.
+    assert found == [77, 19_999] and peak < 300e6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aBé\u0301\u1100\u1161\u11a8가①㈜ﬁİß_-. <b>&amp;1", max_size=40))
+def test_places_go_with_the_plain_text(text):
+    from corpusmill.llm.leakage import plain
+
+    whole, places = normalised(text)
+    assert whole == plain(text) and len(places) == len(whole)
+    assert all(0 <= p < len(text) for p in places) and places == sorted(places)
 
 
 def test_positions_of_normalised_text():
     text = "A, b가—<i>Cd</i>"
-    plain, places = normalised(text)
-    assert plain == "ab가cd"
+    whole, places = normalised(text)
+    assert whole == "ab가cd"
     assert [text[p] for p in places] == list("Ab가Cd")
 
 
 def test_operator(spark):
     documents = [(1, f"x {ITEMS[0][1]}"), (2, None), (3, ""), (4, "nothing of the sort"), (5, ("filler " * 50_000) + ITEMS[1][1] + ITEMS[2][1]), (1, f"x {ITEMS[0][1]}")]
     df = spark.createDataFrame([(*d, 0) for d in documents], "doc_id long, text string, item_id long")
-    items = spark.createDataFrame([*ITEMS, (99, None), (98, ""), (None, "x")], "item_id long, text string")
+    items = spark.createDataFrame([*ITEMS, (99, None), (98, ""), (97, " -- "), (None, "x")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in find_leaks(df, held_out(items)).collect()) == [(1, 0), (1, 0), (5, 1), (5, 2)]
     assert find_leaks(df, held_out(items.limit(0))).count() == 0
     assert find_leaks(df.limit(0), held_out(items)).count() == 0
