@@ -57,8 +57,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder for a table that cuts lineage."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for a table that cuts lineage.
+
+    All such tables of an application are in one folder, which goes when the application ends.
+    """
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/corpusmill-{context.applicationId}"
+    if getattr(context, "_corpusmill_scratch", None) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        context._corpusmill_scratch = folder
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> None:
