@@ -6,6 +6,10 @@ with the error bounds say which pairs can still be among the k best.  Only these
 from the stored floats in double precision, and the candidates of the tiles are merged.  The
 result is exact.  The tiles grow with the square of the collection, what is shuffled with the
 collection times the number of strips of tiles.
+
+Workers read the blocks from the shared folder by themselves where they can open it (local and
+mounted folders, and object stores whose scheme they know); elsewhere Spark brings the two blocks
+of every tile together, which shuffles each block once for every other one.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +29,12 @@ from corpusmill.session import scratch_path
 #: Most vectors of a block; a tile is worked off in bands of so many rows, to bound memory.
 BLOCK = 16_384
 BAND = 1_024
-#: Blocks on the right of a strip, which one task compares with the block on the left.
+#: Least vectors of a block, where a smaller collection is spread over more tasks.
+LEAST_BLOCK = 4_096
+#: Blocks on the right of a strip at most, which one task compares with the block on the left.
 STRIP = 8
+#: Schemes of shared folders under the names the workers' file systems have for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gcs": "gs"}
 #: Cosines that differ by less count as equal.
 TIE = 1e-6
 #: Slack for sums in single precision.
@@ -73,15 +82,32 @@ def _kth(similar: np.ndarray, weights: np.ndarray, own: np.ndarray, k: int) -> n
     return out
 
 
+def local_uri(path: str) -> str:
+    """The path of a shared folder as the workers' file systems know it; mounts become folders."""
+    scheme, found, rest = path.partition(":")
+    if not found or "/" in scheme:
+        return path
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+_COLUMNS = ["row", "n", "vector", "code", "scale", "error", "kth"]
+
+
+def _read_block(path: str) -> pa.Table:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(local_uri(path))
+    return pq.read_table(inner, filesystem=system, columns=_COLUMNS)
+
+
 class _Block:
     """A block in a worker."""
 
-    def __init__(self, path: str, dim: int) -> None:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
-        stored = pq.read_table(inner, filesystem=system, columns=["row", "n", "vector", "code", "scale", "error", "kth"]).combine_chunks()
+    def __init__(self, stored: pa.Table, dim: int) -> None:
+        stored = stored.combine_chunks()
         bytes_of = lambda name, kind: np.frombuffer(b"".join(stored[name].to_pylist()), kind)
         self.row, self.n = stored["row"].to_numpy(), stored["n"].to_numpy().astype(np.int64)
         size = len(self.row)
@@ -96,10 +122,15 @@ def write_blocks(chunks: DataFrame, id: str, vector: str, dim: int, k: int) -> s
 
     Equal vectors of a block become one row with all their ids, so that a group of copies cannot
     blow up the tiles.  ``kth`` is what the block alone offers as k-th best: the bound that a
-    pair with another block has to beat.  Nothing is shuffled.
+    pair with another block has to beat.  Nothing is shuffled: small input partitions are read
+    together, so that blocks are full however the input is cut, but for a small collection,
+    which is spread over the cores.
     """
-    path = scratch_path(chunks.sparkSession, "vector-blocks")
+    spark = chunks.sparkSession
+    path = scratch_path(spark, "vector-blocks")
     picked = chunks.where(F.col(id).isNotNull() & (F.size(vector) == dim)).select(F.col(id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = chunks.count()
+    picked = picked.coalesce(max(1, -(-rows // BLOCK), min(spark.sparkContext.defaultParallelism, -(-rows // LEAST_BLOCK))))
 
     def block(first: int, ids: list[list[str]], vectors: np.ndarray) -> pa.RecordBatch:
         n = np.array([len(i) for i in ids], np.int32)
@@ -171,16 +202,14 @@ def _best(rows: np.ndarray, others: np.ndarray, s: np.ndarray, n: np.ndarray, k:
     return order[s >= np.repeat(bound, np.diff(np.r_[start, len(rows)])) - TIE]
 
 
-def _strip(left_path: str, right_paths: list[str], dim: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Candidates ``(a, b, cosine, copies of b)`` of one strip, both ways."""
-    left = _Block(left_path, dim)
+def _strip(left: _Block, rights: Iterator[_Block], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Candidates ``(a, b, cosine, copies of b)`` of one strip, both ways; ``left`` itself may be among ``rights``."""
     if not len(left.row):
         return
     bound = left.kth.copy()
     kept: list[tuple[np.ndarray, ...]] = []
-    for path in right_paths:
-        same = path == left_path
-        right = left if same else _Block(path, dim)
+    for right in rights:
+        same = right is left
         if not len(right.row):
             continue
         slack_right = right.error + SINGLE
@@ -229,35 +258,99 @@ def _strip(left_path: str, right_paths: list[str], dim: int, k: int) -> Iterator
     yield left.row[a], b, s, n
 
 
-def candidate_pairs(blocks: DataFrame, dim: int, k: int) -> DataFrame:
-    """``(a, b, cosine, n)`` for the best partners of every row of the blocks, in each strip."""
+_PAIRS = "a long, b long, cosine double, n int"
+
+
+def _as_batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    a, b, s, n = found
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(s, pa.float64()), "n": pa.array(n, pa.int32())})
+
+
+def readable_by_workers(blocks: DataFrame) -> bool:
+    """Whether a worker can open a block of the shared folder by itself; one task tries."""
+    paths = blocks.inputFiles()[:1]
+
+    def attempt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            try:
+                _read_block(paths[0])
+                opened = True
+            except Exception:  # noqa: BLE001 - whatever a file system that is not there raises
+                opened = False
+            yield pa.RecordBatch.from_pydict({"opened": [opened]})
+
+    return not paths or blocks.sparkSession.range(0, 1, 1, 1).mapInArrow(attempt, "opened boolean").first()[0]
+
+
+def candidate_pairs(blocks: DataFrame, dim: int, k: int, by_workers: bool | None = None) -> DataFrame:
+    """``(a, b, cosine, n)`` for the best partners of every row of the blocks, in each strip.
+
+    ``by_workers`` says who reads the blocks; by default it is tried out.
+    """
+    if readable_by_workers(blocks) if by_workers is None else by_workers:
+        return _pairs_of_strips(blocks, dim, k)
+    return _pairs_of_tiles(blocks, dim, k)
+
+
+def _pairs_of_strips(blocks: DataFrame, dim: int, k: int) -> DataFrame:
+    """The strips are numbers made by the executors; the names of the block files go to the workers once."""
     spark = blocks.sparkSession
-    paths = sorted(blocks.inputFiles())
-    strips = [(paths[i], paths[j : j + STRIP]) for i in range(len(paths)) for j in range(i, len(paths), STRIP)]
-    if not strips:
-        return spark.createDataFrame([], "a long, b long, cosine double, n int")
-    todo = spark.createDataFrame(strips, "left_path string, right_paths array<string>").repartition(min(len(strips), 20_000))
+    sent = spark.sparkContext.broadcast(sorted(blocks.inputFiles()))
+    count, cores = len(sent.value), spark.sparkContext.defaultParallelism
+    # As long as a strip may be while there are several for every core; the rows of a strip share one left block.
+    length = max(1, min(STRIP, count * (count + 1) // (8 * cores)))
+    strips = spark.range(0, count, 1, max(1, min(count, 2 * cores))).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(count - 1).cast("long"), F.lit(length).cast("long"))).alias("j"))
+    todo = strips.repartition(max(1, min(count * (count // length + 1), 20_000)), "i", "j")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, held = sent.value, (None, None)
         for batch in batches:
-            for strip in batch.to_pylist():
-                for a, b, s, n in _strip(strip["left_path"], strip["right_paths"], dim, k):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(s, pa.float64()), "n": pa.array(n, pa.int32())})
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left = held[1] if held[0] == i else _Block(_read_block(paths[i]), dim)
+                held = (i, left)
+                rights = (left if r == i else _Block(_read_block(paths[r]), dim) for r in range(j, min(j + length, len(paths))))
+                for found in _strip(left, rights, k):
+                    yield _as_batch(found)
 
-    return todo.mapInArrow(join, "a long, b long, cosine double, n int")
+    return todo.mapInArrow(join, _PAIRS)
 
 
-def nearest(chunks: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 384, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def _pairs_of_tiles(blocks: DataFrame, dim: int, k: int) -> DataFrame:
+    """The same where only Spark can read the blocks: each is sent to the tiles it is part of, two blocks to a task."""
+    spark = blocks.sparkSession
+    # A block is what one task wrote before it began the next: the upper bits of the row numbers.
+    numbers = blocks.select(F.shiftright("row", 20).alias("block")).distinct().orderBy("block")
+    names = [r["block"] for r in numbers.collect()]
+    order = spark.createDataFrame(list(enumerate(names)), "no int, block long")
+    last = len(names) - 1
+    placed = blocks.withColumn("block", F.shiftright("row", 20)).join(F.broadcast(order), "block")
+    number = F.col("no")
+    # Tile (i, j) with i <= j has blocks i and j.
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(last, 0))))).select(F.least(number, "other").alias("i"), F.greatest(number, "other").alias("j"), "no", *_COLUMNS)
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in key)
+        parts = [table.filter(pa.compute.equal(table["no"], x)).sort_by("row") for x in dict.fromkeys((i, j))]
+        left = _Block(parts[0], dim)
+        found = list(_strip(left, iter([left] if i == j else [_Block(parts[1], dim)]), k))
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64()), ("n", pa.int32())])
+        return pa.Table.from_batches([_as_batch(f) for f in found], schema)
+
+    return tiles.groupBy("i", "j").applyInArrow(join, _PAIRS)
+
+
+def nearest(chunks: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 384, k: int = 5, by_workers: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """``(links, members)``.
 
     ``links`` has ``(a, b, cosine)``: class ``b`` is among the k most similar of the vectors of
     class ``a``; near ties of the k-th count.  A class is a group of equal vectors, ``a = b`` says
     that copies are each other's neighbours.  ``members`` has ``(row, id)`` for every usable vector.
-    Null, short, non-finite and zero vectors, and rows without id, are in neither.
+    Null, short, non-finite and zero vectors, and rows without id, are in neither.  The table of blocks
+    stays in the shared folder as long as the application, which may read the result at any time.
     """
     blocks = chunks.sparkSession.read.schema(_BLOCK_SCHEMA).parquet(write_blocks(chunks, id, vector, dim, k))
     best = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    ranked = candidate_pairs(blocks, dim, k).withColumn("before", F.coalesce(F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = candidate_pairs(blocks, dim, k, by_workers).withColumn("before", F.coalesce(F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bounded = ranked.withColumn("kth", F.min(F.when(F.col("before") < k, F.col("cosine"))).over(Window.partitionBy("a")))
     links = bounded.where(F.col("cosine") >= F.col("kth") - TIE).select("a", "b", "cosine")
     return links, blocks.select("row", F.explode("ids").alias("id"))

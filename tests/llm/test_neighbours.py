@@ -57,3 +57,47 @@ def test_a_block_per_few_vectors(spark):
     vectors = [(f"v{i:03}", v) for i, v in enumerate(float32(rng, 200))]
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "id string, embedding array<float>").repartition(12)
     assert {(r.chunk_a, r.chunk_b) for r in neighbours.neighbour_pairs(df, dim=8).collect()} == brute(vectors)
+
+
+@pytest.mark.parametrize("by_workers", [True, False])
+def test_both_ways_to_read_the_blocks(spark, by_workers, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_BLOCK", 60)
+    rng = np.random.default_rng(6)
+    vectors = [(f"v{i:03}", v) for i, v in enumerate(float32(rng, 240))]
+    vectors += [(f"c{i}", vectors[0][1]) for i in range(4)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "id string, embedding array<float>").repartition(9)
+    links, members = neighbours.nearest(df, dim=8, by_workers=by_workers)
+    names = {}
+    for r in members.collect():
+        names.setdefault(r.row, []).append(r.id)
+    pairs = {(min(x, y), max(x, y)) for r in links.collect() for x in names[r.a] for y in names[r.b] if x != y}
+    assert pairs == brute(vectors)
+
+
+def test_small_partitions_make_full_blocks(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(f"v{i}", [float(x) for x in v]) for i, v in enumerate(float32(rng, 90))], "id string, embedding array<float>").repartition(30)
+    path = neighbours.write_blocks(df, "id", "embedding", 8, 5)
+    assert len(spark.read.parquet(path).inputFiles()) == 1
+
+
+def test_names_of_shared_folders():
+    assert neighbours.local_uri("s3a://bucket/x/y") == "s3://bucket/x/y"
+    assert neighbours.local_uri("dbfs:/x/y") == "file:///dbfs/x/y"
+    assert neighbours.local_uri("file:///x/y") == "file:///x/y" and neighbours.local_uri("/x:1/y") == "/x:1/y"
+    assert neighbours.local_uri("hdfs://host:8020/x") == "hdfs://host:8020/x"
+
+
+def test_folders_no_worker_can_open(spark, monkeypatch):
+    df = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in range(9)], "id string, embedding array<float>")
+    blocks = spark.read.schema(neighbours._BLOCK_SCHEMA).parquet(neighbours.write_blocks(df, "id", "embedding", 2, 5))
+    assert neighbours.readable_by_workers(blocks)
+
+    class Elsewhere:
+        sparkSession = spark
+
+        @staticmethod
+        def inputFiles():
+            return ["nosuchscheme://bucket/part-0.parquet"]
+
+    assert not neighbours.readable_by_workers(Elsewhere())
