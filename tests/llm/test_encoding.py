@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
-from corpusmill.llm.encoding import Garbled, garbled_suspects, restore_encoding
+from pyspark.sql import functions as F
+
+from corpusmill.llm.encoding import Garbled, _read, garbled_suspects, restore_encoding
 
 TEXT = "학생회는 기숙사 리모델링과 관련하여 휴학생의 의견을 수렴합니다. 문의 사항은 도서관으로 연락하여 주시기 바랍니다. 신청 기간은 다음과 같이 안내합니다."
 
@@ -111,3 +113,30 @@ def test_operator(spark):
     assert set(found) == {(1, 1), (4, 1)}
     assert found[1, 1] == TEXT
     assert restore_encoding(df.limit(0), "text", ["prep_id"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "pair"),
+    [
+        ("Die Prüfung für Schüler", ("utf-8", "iso8859-15")), ("Żółty dom stoi za miastem", ("utf-8", "iso8859-2")), ("Žluťoučký kůň", ("utf-8", "cp1250")),
+        ("Die Prüfung für Schüler", ("utf-8", "koi8-r")), ("Die Prüfung für Schüler", ("utf-8", "cp866")), ("Die Prüfung für Schüler", ("utf-8", "cp1251")),
+        ("Кафедра открывает набор студентов", ("koi8-r", "cp1251")), ("Кафедра открывает набор студентов", ("cp1251", "koi8-r")), ("Кафедра открывает набор студентов", ("cp866", "cp1251")),
+        ("Кафедра открывает набор студентов", ("koi8-r", "latin-1")), ("学校的学生明天开始学习", ("gb18030", "latin-1")),
+        ("The café is open.", ("utf-8", "cp949")), ("The café is open.", ("utf-8", "gb18030")), ("The café is open.", ("utf-8", "cp437")), ("The café is open.", ("utf-8", "big5")),
+    ],
+)
+def test_further_pairs(spark, garbled, text, pair):
+    spoiled = _read(text.encode(pair[0]), pair[1])
+    assert garbled.repair(f"x {spoiled} y")[0] == f"x {text} y"
+    assert garbled.repair(text) == (text, 0)
+    assert spark.createDataFrame([(spoiled,)], "t string").where(garbled_suspects(F.col("t"))).count() == 1
+
+
+def test_signs_of_the_korean_standard(garbled):
+    signs = "Aqui §46 ¶50".encode("cp949").decode("gb18030")
+    assert garbled.repair(signs) == ("Aqui §46 ¶50", 2)
+    # One such sign alone, or others of the kind, are correct text.
+    assert garbled.repair("【2】")[1] == 0 and garbled.repair("a ∽ 3")[1] == 0 and garbled.repair("x ∑ y")[1] == 0
+    assert garbled.repair("señal? " + "¡".encode("cp949").decode("latin-1") + "Aqu")[0] == "señal? ¡Aqu"
+    assert garbled.repair("Gr" + "ß".encode("cp949").decode("gb18030") + "e")[0] == "Grße"
+    assert garbled.repair("ÉCOLE D’ÎLE (ÀÉÎ), ÂME & ÇÀ ET LÀ")[1] == 0
