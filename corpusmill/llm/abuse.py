@@ -30,13 +30,19 @@ SPAN = 120
 CLEAR = 1.0
 #: Weight, in documents, of the corpus in the share of positive documents that have an n-gram; largest log ratio.
 PRIOR, MOST_RATIO = 20.0, 4.0
+#: Parts of the labelled documents; each is judged by a model of the others.
+FOLDS = 2
 #: Sentences of a negative document that are fitted on, the highest-scoring ones.
 HARDEST = 6
 #: Sentences with fewer n-grams are scaled as if they had so many, so that a fragment says little.
 LEAST_GRAMS = 90
 
 _END = re.compile(r"\n+|(?<=[.!?。…])[\"'”’)]*\s+")
+_BLANKS = re.compile(r" *[^\S\n ][^\S\n]*| {2,}")
+_DIGITS = re.compile(r"\d+")
 _JOINERS = re.compile(r"(?<=[^\W\d_])[­​-‏⁠﻿ㅡ·._\-~^|/]+(?=[^\W\d_])")
+#: A cheap test for the above.
+_JOINER = re.compile(r"[­​-‏⁠﻿ㅡ·._\-~^|/]")
 _REPEATS = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W\d_])")
 _LEET = re.compile(r"(?<=[a-z])[@$!0135](?=[a-z])")
@@ -46,41 +52,68 @@ LETTERS = dict(zip("@$!0135", "asioies", strict=True))
 
 def plain(text: str) -> str:
     """Composed, in lower case, numbers as 0, long repetitions shortened, and what hides words undone:
-    signs for letters inside words, and words spelt with a blank between all letters."""
-    text = _LEET.sub(lambda m: LETTERS[m.group()], unicodedata.normalize("NFKC", text).lower())
-    text = " ".join(_REPEATS.sub(r"\1\1", re.sub(r"\d+", "0", text)).split())
+    signs for letters inside words, and words spelt with a blank between all letters.  Line ends stay."""
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    text = _LEET.sub(lambda m: LETTERS[m.group()], text.lower())
+    text = _BLANKS.sub(" ", _REPEATS.sub(r"\1\1", _DIGITS.sub("0", text)))
     return _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
 
 
 def sentences(text: str) -> list[str]:
-    """The normalised sentences of ``text``; long ones in overlapping parts."""
+    """The normalised sentences of ``text``; long ones in overlapping parts.
+
+    A sentence with signs between its letters is given without them as well.
+    """
     out = []
-    for piece in _END.split(unicodedata.normalize("NFC", text)):
-        piece = plain(piece)
-        if len(piece) <= SPAN:
-            if piece:
-                out.append(piece)
-        else:
-            out += [piece[i : i + SPAN] for i in range(0, len(piece) - SPAN // 2, SPAN // 2)]
+    for piece in _END.split(plain(text)):
+        piece = piece.strip()
+        if not piece:
+            continue
+        joined = _JOINERS.sub("", piece) if _JOINER.search(piece) else piece
+        for form in (piece,) if joined == piece else (piece, joined):
+            if len(form) <= SPAN:
+                out.append(form)
+            else:
+                out += [form[i : i + SPAN] for i in range(0, len(form) - SPAN // 2, SPAN // 2)]
     return out
 
 
-def features(sentence: str) -> np.ndarray:
-    """Hashed distinct n-grams of a sentence, as written and with the signs between letters removed.
+def hashed(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of all sentences, and the number of the sentence of each.
 
     All n-grams of a length are hashed at once: a polynomial over the code points, mixed by a
     multiplication, of which the upper bits are the place.
     """
-    joined = _JOINERS.sub("", sentence)
-    found = []
-    for form in (sentence,) if joined == sentence else (sentence, joined):
-        codes = np.frombuffer(f" {form} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-        value = np.zeros(len(codes) + 1, np.uint64)
-        for n in range(1, max(GRAMS) + 1):
-            value = value[:-1][: max(len(codes) - n + 1, 0)] * _STEP + codes[n - 1 :]
-            if n in GRAMS:
-                found.append((value + np.uint64(n)) * _MIX >> np.uint64(64 - BITS))
-    return np.unique(np.concatenate(found)).astype(np.int32)
+    if not many:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    codes = np.frombuffer(f"\0 {' \0 '.join(many)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = codes == 0
+    owner = np.cumsum(start, dtype=np.int32) - 1
+    codes = codes.astype(np.uint64)
+    value = np.zeros(len(codes) + 1, np.uint64)
+    places, owners = [], []
+    # Where an n-gram would reach into the next sentence.
+    left = np.diff(np.append(np.flatnonzero(start), len(codes)))
+    room = np.arange(len(codes)) - np.flatnonzero(start)[owner]
+    room = left[owner] - room
+    for n in range(1, max(GRAMS) + 1):
+        value = value[:-1][: max(len(codes) - n + 1, 0)] * _STEP + codes[n - 1 :]
+        inside = (room[: len(value)] >= n) & ~start[: len(value)]
+        places.append(((value[inside] + np.uint64(n)) * _MIX >> np.uint64(64 - BITS)).astype(np.int32))
+        owners.append(owner[: len(value)][inside])
+    return np.concatenate(places), np.concatenate(owners)
+
+
+def margins(many: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """The margin of every sentence: its weights over the root of their number."""
+    out = np.empty(len(many))
+    for at in range(0, len(many), 4096):
+        places, owners = hashed(many[at : at + 4096])
+        n = len(many[at : at + 4096])
+        sizes = np.bincount(owners, minlength=n)
+        out[at : at + 4096] = np.bincount(owners, weights=weights[places], minlength=n) / np.sqrt(np.maximum(sizes, LEAST_GRAMS)) + bias
+    return out
 
 
 @dataclass
@@ -89,21 +122,17 @@ class Classifier:
     bias: float
     threshold: float
 
-    def score(self, text: str | None, seen: dict[str, float] | None = None) -> float:
+    def score(self, text: str | None) -> float:
         """The margin of the worst sentence; null and blank texts score lowest."""
-        best = -1e9
-        for s in sentences(text) if text else ():
-            value = seen.get(s) if seen is not None else None
-            if value is None:
-                value = self._margin(s)
-                if seen is not None:
-                    seen[s] = value
-            best = max(best, value)
-        return best
+        return float(self.scores([text])[0])
 
-    def _margin(self, sentence: str) -> float:
-        f = features(sentence)
-        return float(self.weights[f].sum() / np.sqrt(max(len(f), LEAST_GRAMS)) + self.bias)
+    def scores(self, texts: list[str | None], seen: dict[str, float] | None = None) -> np.ndarray:
+        """:meth:`score` of every text; ``seen`` keeps the margins of sentences."""
+        seen = {} if seen is None else seen
+        bags = [sentences(t) if isinstance(t, str) else [] for t in texts]
+        new = list({s for bag in bags for s in bag if s not in seen})
+        seen.update(zip(new, margins(new, self.weights, self.bias).tolist(), strict=True))
+        return np.array([max((seen[s] for s in bag), default=-1e9) for bag in bags])
 
 
 def _gathered(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,9 +159,11 @@ def _fit(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.n
 
     It starts from the naive Bayes weights themselves (all ones) and is drawn towards them.
     """
-    dim = 1 << BITS
-    columns, rows, scale = _gathered(lists)
-    value = ratio[columns] * scale[rows]
+    places, rows, scale = _gathered(lists)
+    # Only places that occur are fitted; the others keep the weight they start from.
+    used, columns = np.unique(places, return_inverse=True)
+    dim = len(used)
+    value = (ratio[places] * scale[rows]).astype(np.float64)
     w, b = np.full(dim, 0.3), -1.0
     speed, square_w, square_b = 0.1, np.full(dim, 1e-12), 1e-12
     weight = weight / weight.sum()
@@ -145,7 +176,9 @@ def _fit(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.n
         square_b += slope**2
         w -= speed * grad / np.sqrt(square_w)
         b -= speed * slope / np.sqrt(square_b)
-    return w * ratio, b
+    out = np.full(1 << BITS, 0.3)
+    out[used] = w
+    return out * ratio, b
 
 
 def train(labelled: list[tuple[str, float]], corpus: tuple[np.ndarray, int] | None = None, rounds: int = 4) -> Classifier:
@@ -164,14 +197,13 @@ def train(labelled: list[tuple[str, float]], corpus: tuple[np.ndarray, int] | No
         return Classifier(np.zeros(1 << BITS), 0.0, 1.0)
     bags, y = [sentences(t) for t, _ in usable], np.array([float(y > 0.5) for _, y in usable])
     known: dict[str, int] = {}
-    lists: list[np.ndarray] = []
     for bag in bags:
         for s in bag:
-            if s not in known:
-                known[s] = len(lists)
-                lists.append(features(s))
+            known.setdefault(s, len(known))
+    every, owners = hashed(list(known))
+    lists = np.split(every[np.argsort(owners, kind="stable")], np.cumsum(np.bincount(owners, minlength=len(known)))[:-1])
     ids = [np.array([known[s] for s in bag]) for bag in bags]
-    fold = np.arange(len(bags)) % 2
+    fold = np.arange(len(bags)) % FOLDS
     trust = np.ones(len(bags))
     columns, rows, scale = _gathered(lists)
     # What a document has as a whole, each n-gram once.
@@ -193,9 +225,9 @@ def train(labelled: list[tuple[str, float]], corpus: tuple[np.ndarray, int] | No
 
     out_of_fold = np.zeros(len(bags))
     for turn in range(rounds):
-        for half in (0, 1):
-            _, _, margins = fit(np.flatnonzero(fold != half))
-            for k in np.flatnonzero(fold == half):
+        for part in range(FOLDS):
+            _, _, margins = fit(np.flatnonzero(fold != part))
+            for k in np.flatnonzero(fold == part):
                 out_of_fold[k] = margins[ids[k]].max()
                 if y[k]:
                     chosen[k] = int(ids[k][margins[ids[k]].argmax()])
@@ -248,8 +280,10 @@ def sentence_frequencies(documents: DataFrame, text: str = "text") -> tuple[np.n
         total = np.zeros((1 << BITS) + 1, np.int64)
 
         def add() -> None:
-            for s, n in held.items():
-                total[features(s)] += n
+            many, n = list(held), np.array(list(held.values()), np.float64)
+            for at in range(0, len(many), 4096):
+                places, owners = hashed(many[at : at + 4096])
+                total[:-1] += np.bincount(places, weights=n[at + owners], minlength=1 << BITS).astype(np.int64)
             held.clear()
 
         for batch in batches:
@@ -282,8 +316,8 @@ def score_documents(documents: DataFrame, classifier: Classifier, key: str = "do
         for batch in batches:
             if len(seen) > 200_000:
                 seen.clear()
-            scores = [model.score(t, seen) if isinstance(t, str) else -1e9 for t in batch["_text"]]
-            yield pd.DataFrame({"_key": batch["_key"], "score": scores, "abusive": [s > model.threshold for s in scores]})
+            scores = model.scores(batch["_text"].tolist(), seen)
+            yield pd.DataFrame({"_key": batch["_key"], "score": scores, "abusive": scores > model.threshold})
 
     return picked.mapInPandas(score, f"_key {kind}, score double, abusive boolean").withColumnRenamed("_key", key)
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from corpusmill.llm.abuse import features, labelled_texts, plain, score_documents, sentence_frequencies, source_rates, train
+import numpy as np
+
+from corpusmill.llm.abuse import BITS, hashed, labelled_texts, margins, plain, score_documents, sentence_frequencies, sentences, source_rates, train
 
 RUDE = ["you {n} idiots can rot in hell", "shut up you filthy {n} scum", "what a stupid {n} moron, get lost"]
 KIND = ["the {n} office opens at nine on monday", "please hand in the {n} form before friday", "the rule forbids calling {n} members idiots", "the library lends {n} books for two weeks", "interviews take place in the {n} hall"]
@@ -56,14 +58,42 @@ def test_sentence_frequencies(spark):
     df = spark.createDataFrame([("ab. ab. ab",), ("ab",), (None,), ("",)], "text string")
     counts, n = sentence_frequencies(df)
     assert n == 2
-    assert set(counts[features("ab")]) <= {2, 4}
+    # " ab " stands in "ab" and three times in "ab. ab. ab", one of them without the full stop.
+    assert counts[hashed(["ab"])[0]].min() >= 2
     assert sentence_frequencies(df.limit(0))[1] == 0
 
 
-def test_features_are_distinct_ngrams():
-    grams = {f" abab "[i : i + n] for n in range(1, 6) for i in range(6 - n + 1)}
-    assert len(features("abab")) == len(grams)
-    assert set(features("a.b")) >= set(features("ab"))
+def test_all_ngrams_of_every_sentence():
+    many = ["abab", "x", "가나 다"]
+    places, owners = hashed(many)
+    for k, s in enumerate(many):
+        grams = [f" {s} "[i : i + n] for n in range(1, 6) for i in range(len(s) + 2 - n + 1)]
+        assert (owners == k).sum() == len(grams)
+        # Equal n-grams have equal places, others mostly not; what stands beside a sentence does not matter.
+        assert len(set(places[owners == k])) == len(set(grams))
+        assert sorted(places[owners == k]) == sorted(hashed([s])[0])
+    assert len(hashed([])[0]) == 0
+
+
+def test_signs_between_letters():
+    assert sentences("You id.iot. Bye") == ["you id.iot.", "you idiot.", "bye"]
+
+
+def test_margins_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=1 << BITS)
+    many = [s for t, _, _ in corpus(300, 9) for s in sentences(t)] * 20
+    together = margins(many, weights, 0.5)
+    assert len(many) > 8192 and np.allclose(together[:50], [margins([s], weights, 0.5)[0] for s in many[:50]]) and np.allclose(together[-50:], [margins([s], weights, 0.5)[0] for s in many[-50:]])
+
+
+def test_rates_against_a_count(spark):
+    documents = spark.createDataFrame([(i, f"s{i % 3}" if i % 7 else None) for i in range(50)], "doc_id long, source string")
+    scored = spark.createDataFrame([(i, 0.0, i % 4 == 0) for i in range(50)], "doc_id long, score double, abusive boolean")
+    for r in source_rates(documents, scored).collect():
+        own = [i for i in range(50) if (f"s{i % 3}" if i % 7 else None) == r.source]
+        hits = sum(i % 4 == 0 for i in own)
+        assert (r.n_documents, r.n_abusive, r.rate) == (len(own), hits, round(hits / len(own), 6))
 
 
 def test_hidden_words_are_spelt_out():
