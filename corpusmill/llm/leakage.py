@@ -37,6 +37,8 @@ BRIDGE = 14
 WHOLE = 2 * SEED
 #: The automaton of a worker starts anew beyond this many characters of items.
 AUTOMATON_CHARS = 250_000
+#: Characters of texts that are looked up at once, so that a batch takes bounded memory.
+LOOKED_UP = 500_000
 
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _ENTITY = re.compile(r"&#?\w{1,8};")
@@ -60,7 +62,10 @@ def plain(text: str) -> str:
     Tags, entities, punctuation and white space count for nothing, so that reflowed, quoted or
     marked-up copies look alike.
     """
-    return _NOT_TEXT.sub("", unicodedata.normalize("NFKC", _unmarked(text)).lower())
+    bare = _unmarked(text)
+    if not bare.isascii() and not unicodedata.is_normalized("NFKC", bare):
+        bare = unicodedata.normalize("NFKC", bare)
+    return _NOT_TEXT.sub("", bare.lower())
 
 
 def normalised(text: str) -> tuple[str, list[int]]:
@@ -181,29 +186,41 @@ class Index:
         self.seen = np.zeros(1 << bits, bool)
         self.seen[self.keys >> self.shift] = True
 
-    def candidates(self, text: str) -> list[int]:
-        """Numbers of the items that ``text`` may give away: no chain in the item's order can cover more than counted here.
+    def candidates(self, texts: list[str]) -> list[list[int]]:
+        """For every text the numbers of the items that it may give away: no chain in the item's order can cover more than counted here.
 
         An item's part is what the sequences met cover of it, and the gaps between that are short enough to be bridged.
+        All texts are looked up at once.
         """
-        if not len(self.keys):
-            return []
-        met = _grams(text)
-        met = np.unique(met[self.seen[met >> self.shift]])
-        at = np.searchsorted(self.keys, met)
-        at[at == len(self.keys)] = 0
-        at = at[self.keys[at] == met]
-        if not len(at):
-            return []
-        counts = self.last[at] - self.first[at]
-        ends = np.cumsum(counts)
-        found = np.sort(self.places[np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - counts), counts)])
+        out: list[list[int]] = [[] for _ in texts]
+        if not len(self.keys) or not texts:
+            return out
+        met = _grams("\0".join(texts))
+        at = np.flatnonzero(self.seen[met >> self.shift])
+        met = met[at]
+        key = np.searchsorted(self.keys, met)
+        key[key == len(self.keys)] = 0
+        right = self.keys[key] == met
+        if not right.any():
+            return out
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        own = np.searchsorted(ends, at[right], "right")
+        pairs = np.unique(own * len(self.keys) + key[right])
+        own, key = np.divmod(pairs, len(self.keys))
+        counts = self.last[key] - self.first[key]
+        upto = np.cumsum(counts)
+        place = self.places[np.arange(upto[-1]) + np.repeat(self.first[key] - (upto - counts), counts)]
+        span = int(self.starts[-1] + self.sizes[-1] + SEED + BRIDGE + 1)
+        found = np.sort(np.repeat(own, counts) * span + place)
         steps = np.append(np.diff(found), SEED + BRIDGE + 1)
         parts = np.where(steps <= SEED + BRIDGE, steps, SEED)
-        items = np.searchsorted(self.starts, found, "right") - 1
-        begin = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
-        owners = items[begin]
-        return owners[np.add.reduceat(parts, begin) >= COVERAGE * self.sizes[owners]].tolist()
+        own, place = np.divmod(found, span)
+        items = np.searchsorted(self.starts, place, "right") - 1
+        begin = np.flatnonzero(np.append(True, (items[1:] != items[:-1]) | (own[1:] != own[:-1])))
+        enough = np.add.reduceat(parts, begin) >= COVERAGE * self.sizes[items[begin]]
+        for text, item in zip(own[begin][enough].tolist(), items[begin][enough].tolist(), strict=True):
+            out[text].append(item)
+        return out
 
 
 def stretches(item: str, grams: dict[str, list[int]], text: str, inside: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
@@ -339,10 +356,23 @@ class Leaks:
 
     def of(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int]]]]:
         """``(item id, coverage, spans of the text)`` of every item that ``text`` gives away."""
-        if not text:
-            return []
-        whole = plain(text)
-        numbers = self.index.candidates(whole)
+        return next(self.of_all([text]))
+
+    def of_all(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, list[tuple[int, int]]]]]:
+        """:meth:`of` for every text, a few at a time."""
+        at = 0
+        while at < len(texts):
+            wholes: list[str] = []
+            size = 0
+            while at + len(wholes) < len(texts) and size < LOOKED_UP:
+                text = texts[at + len(wholes)]
+                wholes.append(plain(text) if text else "")
+                size += len(wholes[-1])
+            for whole, numbers in zip(wholes, self.index.candidates(wholes), strict=True):
+                yield self._given_away(texts[at] or "", whole, numbers)
+                at += 1
+
+    def _given_away(self, text: str, whole: str, numbers: list[int]) -> list[tuple[int, float, list[tuple[int, int]]]]:
         hits = [(end + 1 - n, end + 1, ids) for end, (n, ids) in self.short.iter(whole)] if self.short else []
         if not numbers and not hits:
             return []
@@ -381,7 +411,7 @@ def find_leaks(documents: DataFrame, items: list[tuple[int, str]], key: str = "d
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaks = _leaks(sent.value)
         for batch in batches:
-            rows = [(k, i, round(c, 4), [{"start": a, "end": b} for a, b in s]) for k, t in zip(batch["_key"], batch["_text"], strict=True) for i, c, s in leaks.of(t)]
+            rows = [(k, i, round(c, 4), [{"start": a, "end": b} for a, b in s]) for k, given in zip(batch["_key"], leaks.of_all(batch["_text"].tolist()), strict=True) for i, c, s in given]
             yield pd.DataFrame(rows, columns=["_key", "item_id", "coverage", "spans"])
 
     found = picked.mapInPandas(find, f"_key {kind}, item_id long, coverage double, spans array<struct<start: int, end: int>>")
