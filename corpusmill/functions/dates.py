@@ -29,7 +29,7 @@ def lenient_date(text: Column) -> Column:
     return F.coalesce(compact, strict, _first(F.regexp_extract_all(bare, F.lit(LOOSE), F.lit(0))))
 
 
-#: A year of this century, then perhaps a month and a day.
+# A year of this century, then perhaps a month and a day, as a whole and by its parts.
 LOOSE = r"20\d{2}(?:[.\-/년]|\s*학년도)?\s*(?:\d{1,2})?[.\-/월]?\s*(?:\d{1,2})?"
 _PARTS = r"(20\d{2})(?:[.\-/년]|\s*학년도)?\s*(\d{1,2})?[.\-/월]?\s*(\d{1,2})?"
 

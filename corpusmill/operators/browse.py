@@ -67,3 +67,14 @@ def in_order(column: Column, order: list[str], unknown: int = 999) -> Column:
     """The place of a value in a fixed order, unknown ones last."""
     place = F.array_position(F.array(*[F.lit(o) for o in order]), column)
     return F.when(F.coalesce(place, F.lit(0)) > 0, place).otherwise(unknown)
+
+
+def bars(rows: DataFrame, count: str) -> DataFrame:
+    """``rows`` with ``share``, their count as a part of the largest one, 0 where that is 0."""
+    top = rows.agg(F.max(count).alias("_top"))
+    return rows.join(F.broadcast(top)).withColumn("share", F.when(F.col("_top") > 0, F.col(count) / F.col("_top")).otherwise(0.0)).drop("_top")
+
+
+def percent(rate: Column) -> Column:
+    """A rate as a whole percentage, halves up."""
+    return F.concat(F.floor(rate * 100 + 0.5).cast("string"), F.lit("%"))

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.ids import chunk_key
-from corpusmill.functions.text import block_text, one_blank
+from corpusmill.functions.text import block_text, cleaned, line_blocks, one_blank
 
 SIZE, OVERLAP = 900, 120
 CHUNK = "array<struct<chunk_id: int, text: string, num_lines: int, num_chars: int>>"
+SECTIONED_CHUNK = "array<struct<chunk_id: int, text: string, num_lines: int, num_chars: int, sections: array<string>>>"
 _MARK = re.compile("[\n。．.!?！？]")
 
 
@@ -95,6 +96,26 @@ def sectioned(lines: list[tuple[str, str]], size: int = SIZE, overlap: int = OVE
     return chunks
 
 
+def with_sectioned_chunks(documents: DataFrame, blocks: str = "blocks", section: str = "section", size: int = SIZE, overlap: int = OVERLAP, name: str = "chunks") -> DataFrame:
+    """``documents`` with chunks of the lines of their blocks that name the sections they hold.
+
+    ``section`` is the field of a block that names its section, ``unknown`` where it is blank.  Lines
+    are tidied in the JVM; documents without any text have no chunks.
+    """
+    named = lambda b: one_blank(F.coalesce(b[section], F.lit("")))
+    lines = lambda b: F.transform(line_blocks(cleaned(b["text"])), lambda line: F.struct(line.alias("line"), F.when(named(b) == "", "unknown").otherwise(named(b)).alias("section")))
+    every = F.flatten(F.transform(F.coalesce(F.col(blocks), F.array()), lines))
+
+    @F.pandas_udf(SECTIONED_CHUNK)
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([sectioned([(x["line"], x["section"]) for x in found], size, overlap) for found in batch])
+
+    # The lines are named twice, so that the planner works them out before Python sees them.
+    packed_lines = F.when(F.size("_lines") > 0, pack("_lines")).otherwise(F.array().cast(SECTIONED_CHUNK))
+    return documents.withColumn("_lines", every).withColumn(name, packed_lines).drop("_lines")
+
+
 def fallback_text(fields: list[tuple[str, Column]]) -> Column:
     """``label: value`` lines of the fields that are not blank, for documents without any text."""
     lines = F.array(*[F.when(one_blank(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"{label}: "), c)) for label, c in fields])

@@ -6,8 +6,10 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +81,33 @@ def with_hashed_vector(documents: DataFrame, text: str, dim: int = 384, name: st
             yield batch.map(lambda t: hashed_vector(t, dim))
 
     return documents.withColumn(name, embed(F.col(text)))
+
+
+def with_model_vector(documents: DataFrame, text: str, load: Callable[[], Callable[[list[str]], Any]], dim: int = 384, batch: int = 32, name: str = "embedding") -> DataFrame:
+    """``documents`` with the vector a model gives their text, of unit length, rounded to 8 places.
+
+    ``load`` makes the model, once in every worker; the model takes a list of at most ``batch`` texts and
+    gives one vector of ``dim`` numbers for each.  Blank and null texts have a null vector, and so has
+    one whose numbers are all zero; a vector of another size or with non-finite numbers is an error.
+    """
+
+    def one(vector: Any) -> list[float] | None:
+        values = np.asarray(vector, np.float64)
+        if values.shape != (dim,) or not np.isfinite(values).all():
+            raise ValueError(f"the model gave no vector of {dim} finite numbers")
+        norm = np.linalg.norm(values)
+        return [round(x, 8) for x in (values / norm).tolist()] if norm else None
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            some = [i for i, t in enumerate(texts) if t and t.strip()]
+            out: list[list[float] | None] = [None] * len(texts)
+            for at in range(0, len(some), batch):
+                part = some[at : at + batch]
+                for i, vector in zip(part, model([texts.iloc[i] for i in part]), strict=True):
+                    out[i] = one(vector)
+            yield pd.Series(out)
+
+    return documents.withColumn(name, embed(F.col(text)))

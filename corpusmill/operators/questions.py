@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import one_blank, truncated
+from corpusmill.functions.text import truncated
 
 # Phrases that carry no meaning for search.
 FILLERS = (
@@ -57,28 +57,49 @@ def with_search_form(questions: DataFrame, column: str, name: str = "search_form
     return questions.withColumn(name, apply(F.col(column)))
 
 
-def shown_title(metadata: Column, title: Column) -> Column:
-    some = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
-    return F.coalesce(some(F.try_element_at(metadata, F.lit("doc_title"))), some(title), some(F.try_element_at(metadata, F.lit("source_file"))), F.lit(""))
+# What a source without a title is called, what stands where there are no sources, and the sections of a prompt.
+NO_TITLE = "(제목 없음)"
+NO_SOURCES = "(자료 없음)"
+SECTIONS = ("[질문]", "[참고 자료]", "[지시]")
+INSTRUCTION = "위 자료만 근거로, 시스템 규칙을 지켜 한국어로 답변하세요."
+# Where a title and an address come from, in this order, ``row:`` from a column.
+TITLE_CHAIN = ("doc_title", "source_file", "title", "row:title", "row:source_slug")
+URL_CHAIN = ("row:url", "doc_url", "source_page_url", "attachment_url")
 
 
-def shown_url(metadata: Column, url: Column) -> Column:
-    some = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
-    return F.coalesce(some(url), some(F.try_element_at(metadata, F.lit("doc_url"))), some(F.try_element_at(metadata, F.lit("source_page_url"))), F.lit(""))
+def _chain(rows: DataFrame, metadata: str, names: tuple[str, ...], default: str) -> Column:
+    """The first value that is not empty."""
+    values = [F.col(n.removeprefix("row:")) if n.startswith("row:") else F.try_element_at(F.col(metadata), F.lit(n)) for n in names if not n.startswith("row:") or n.removeprefix("row:") in rows.columns]
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(default))
+
+
+def as_sources(results: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """``(title, uri, content, similarity)`` of search results, as an answer lists them; '' and 0 for what is missing."""
+    return results.select(
+        _chain(results, metadata, TITLE_CHAIN, NO_TITLE).alias("title"), _chain(results, metadata, URL_CHAIN, "").alias("uri"),
+        F.coalesce("content", F.lit("")).alias("content"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+    )
 
 
 def prompt_blocks(results: DataFrame, rank: str, most_chars: int = 1200) -> DataFrame:
     """``(rank, block)``: ``[i] title``, the address where there is one, and the beginning of the content."""
-    url = shown_url(F.col("metadata"), F.col("url"))
-    head = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), shown_title(F.col("metadata"), F.col("title")))
-    lines = F.array(head, F.when(url != "", F.concat(F.lit("URL: "), url)), truncated(one_blank(F.col("content")), most_chars))
+    title = _chain(results, "metadata", tuple(n for n in TITLE_CHAIN if n != "row:title"), NO_TITLE)
+    url = _chain(results, "metadata", URL_CHAIN, "")
+    head = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), title)
+    lines = F.array(head, F.when(url != "", F.concat(F.lit("URL: "), url)), truncated(F.coalesce("content", F.lit("")), most_chars))
     return results.select(F.col(rank).alias("rank"), F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("block"))
 
 
-def prompt(results: DataFrame, rank: str, most_chars: int = 1200) -> DataFrame:
-    """One row ``(prompt)`` of the blocks in order; the results of one search are few by its k."""
+def prompt(results: DataFrame, rank: str, question: str, most_chars: int = 1200) -> DataFrame:
+    """One row ``(prompt)``: the question, the blocks in order or that there are none, and the instruction.
+
+    The results of one search are few, by its k.
+    """
     parts = F.array_sort(F.collect_list(F.struct("rank", "block")))
-    return prompt_blocks(results, rank, most_chars).agg(F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n").alias("prompt"))
+    blocks = F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n")
+    shown = F.when(F.count("*") > 0, F.regexp_replace(blocks, r"(?U)\s+$", "")).otherwise(NO_SOURCES)
+    asked, known, told = SECTIONS
+    return prompt_blocks(results, rank, most_chars).agg(F.concat(F.lit(f"{asked}\n{question}\n\n{known}\n"), shown, F.lit(f"\n\n{told}\n{INSTRUCTION}")).alias("prompt"))
 
 
 def ask(question: str, search: Callable[[str], list[dict]], generate: Callable[[str, list[dict]], str]) -> dict:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,14 +30,27 @@ FORM_BOOST, APPENDIX_BOOST, TOPIC_BOOST = 0.14, 0.10, 0.08
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
-    """Cosine with a query vector in double precision; null for null, zero, non-finite or differently long vectors."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    literal = F.array(*[F.lit(float(x)) for x in query])
-    dot = F.aggregate(F.zip_with(wide, literal, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    size = float(sum(x * x for x in query)) ** 0.5
-    value = dot / (norm * F.lit(size or 1.0))
-    return F.when((F.size(vector) == len(query)) & (norm > 0) & F.lit(size > 0) & ~F.isnan(value), value)
+    """Cosine with a query vector in double precision; null for null, zero, non-finite or differently long vectors.
+
+    One matrix product for each Arrow batch; the vectors go to Python, nothing else of the row does.
+    """
+    wanted = np.asarray(query, np.float64)
+    size = float(np.linalg.norm(wanted))
+
+    @F.arrow_udf("double")
+    def score(vectors: pa.Array) -> pa.Array:
+        lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        right = np.flatnonzero(lengths == len(wanted))
+        out = np.full(len(vectors), np.nan)
+        if len(right) and size > 0:
+            flat = vectors.values.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            rows = flat[vectors.offsets.to_numpy()[:-1][right][:, None] + np.arange(len(wanted))]
+            with np.errstate(all="ignore"):
+                out[right] = (rows @ wanted) / (np.sqrt((rows * rows).sum(1)) * size)
+        return pa.array(out, mask=np.isnan(out))
+
+    # Not deterministic for the planner, which would otherwise score once for the filter and once more for the column.
+    return score.asNondeterministic()(vector)
 
 
 def merged(left: Column, right: Column) -> Column:
@@ -48,6 +67,38 @@ def contains(metadata: Column, wanted: dict[str, str]) -> Column:
     return test
 
 
+def _holds(value: Any, wanted: Any) -> bool:
+    """JSON containment: objects by key, arrays by some equal or containing element, the rest by value."""
+    if isinstance(wanted, dict):
+        return isinstance(value, dict) and all(k in value and _holds(value[k], w) for k, w in wanted.items())
+    if isinstance(wanted, list):
+        return isinstance(value, list) and all(any(_holds(v, w) for v in value) for w in wanted)
+    if isinstance(value, list) or isinstance(value, bool) != isinstance(wanted, bool):
+        return False
+    return value == wanted
+
+
+def contains_json(document: Column, wanted: dict) -> Column:
+    """Whether JSON text contains ``wanted``, at any depth; null and malformed text contain nothing.
+
+    Flat filters on maps are :func:`contains`, which stays in the JVM.
+    """
+
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda text: _in_json(text, wanted)).astype(bool)
+
+    return test(document)
+
+
+def _in_json(text: str | None, wanted: dict) -> bool:
+    try:
+        return text is not None and _holds(json.loads(text), wanted)
+    except ValueError:
+        return False
+
+
 @dataclass(frozen=True)
 class Intent:
     """What a question asks for besides its meaning."""
@@ -148,3 +199,25 @@ def fan_out(branches: list[DataFrame], k: int) -> DataFrame:
     for other in placed[1:]:
         union = union.unionByName(other)
     return union.orderBy(F.col("similarity").desc(), "branch", "branch_rank").limit(max(k, 0))
+
+
+def search_branches(branches: dict[str, Callable[[], DataFrame]], k: int) -> tuple[list[dict], dict[str, str]]:
+    """(the best k rows of all branches, what went wrong by the name of the branch).
+
+    Each branch is run by itself, so that one that fails leaves the others' results; if all fail the
+    first error is raised.  Every branch gives a ranked list of at most its own k rows.
+    """
+    if not branches:
+        raise ValueError("no branch to search")
+    found: list[tuple[float, int, int, dict]] = []
+    failed: dict[str, Exception] = {}
+    for number, (name, branch) in enumerate(branches.items()):
+        try:
+            rows = branch().orderBy(F.col("similarity").desc(), "id").collect()
+        except Exception as error:  # noqa: BLE001 - any fault of a branch is reported, none ends the search
+            failed[name] = error
+            continue
+        found += [(-row["similarity"], number, place, {**row.asDict(recursive=True), "branch": number}) for place, row in enumerate(rows)]
+    if len(failed) == len(branches):
+        raise next(iter(failed.values()))
+    return [row for *_, row in sorted(found, key=lambda f: f[:3])[: max(k, 0)]], {name: f"{type(error).__name__}: {error}"[:300] for name, error in failed.items()}

@@ -35,8 +35,12 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """``current`` with the rows of ``incoming`` in place of those with the same key.  Repeating it changes nothing."""
-    fresh = last_wins(incoming, keys, order) if order else incoming.dropDuplicates(keys)
+    """``current`` with the rows of ``incoming`` in place of those with the same key.  Repeating it changes nothing.
+
+    Of several incoming rows of a key the last by ``order`` counts; without an order, which of them counts is
+    settled by all their columns, so that running it again gives the same.
+    """
+    fresh = last_wins(incoming, keys, order or [c for c, kind in incoming.dtypes if c not in keys and not kind.startswith(("map", "variant"))])
     kept = current.alias("c").join(fresh.select(*keys).alias("n"), _same("c", "n", keys), "left_anti")
     return kept.unionByName(fresh.select(*current.columns))
 
@@ -71,13 +75,25 @@ def split_flat(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def oversized_plan(chunks: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
-    """The chunks of active sources over the limit, longest first, with the next free index of their source."""
+    """The chunks of active sources over the limit, with the next free index of their source; in no order, see :func:`longest_first`."""
     active = sources.where(F.col("status") == "active").select(F.col("id").alias("source_id"))
     top = chunks.groupBy("source_id").agg(F.max("chunk_index").alias("max_index"))
     large = chunks.where(F.length("content") > limit).join(active, "source_id").join(top, "source_id")
     return large.select("id", "source_id", "chunk_index", F.length("content").alias("n_chars"), (F.col("max_index") + 1).alias("next_index"))
 
 
+def longest_first(plan: DataFrame, most: int | None = None) -> DataFrame:
+    """A plan in the order in which it is read: the longest chunks first, then by id."""
+    ordered = plan.orderBy(F.col("n_chars").desc(), "id")
+    return ordered if most is None else ordered.limit(max(most, 0))
+
+
+def change_totals(plan: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``(sources, deleted, inserted)``: how many sources a rechunking touches, and how many chunks go and come."""
+    made = pieces.join(plan.select("id"), "id", "left_semi").agg(F.count("*").alias("inserted"))
+    return plan.agg(F.count_distinct("source_id").alias("sources"), F.count("*").alias("deleted")).join(F.broadcast(made))
+
+
 def rechunked(chunks: DataFrame, plan: DataFrame, pieces: DataFrame) -> DataFrame:
     """``chunks`` without those of the plan and with ``pieces`` (parent id, piece_no, content) appended.
 

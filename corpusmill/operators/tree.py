@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import checkpointed
 
-def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``(id, root_id, depth, path_ids)`` of every node by a recursive query, level by level.
 
-    Nodes without a parent, or whose parent is not there, are roots of depth 0.  A node that is
-    met again on its own path is not followed, so cycles end; nodes that hang on nothing but a
-    cycle have no path.
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """``(id, root_id, depth, path_ids)`` of every node, root first.
+
+    Nodes without a parent, or whose parent is not there, are roots of depth 0; of repeated ids the
+    smallest parent counts.  Nodes on a cycle, and those that hang on nothing but one, have no path.
+
+    Every round puts the path of the topmost known ancestor before each path, so a forest of depth d
+    takes log d joins, whatever its number of nodes.  A node with an open path in a round that closed
+    none is on a cycle: depths have no gaps.
     """
-    spark: SparkSession = nodes.sparkSession
-    known = nodes.where(F.col("id").isNotNull()).select("id", "parent_id").dropDuplicates(["id"])
-    parents = known.select(F.col("id").alias("_parent"))
-    roots = known.join(parents, F.col("parent_id") == F.col("_parent"), "left").select("id", F.when(F.col("_parent").isNotNull(), F.col("parent_id")).alias("parent_id"))
-    name = f"tree_nodes_{abs(hash(nodes.semanticHash()))}"
-    roots.createOrReplaceTempView(name)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, root_id, depth, path_ids) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT id, id, 0, array(id) FROM {name} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, w.root_id, w.depth + 1, array_append(w.path_ids, n.id)
-          FROM {name} n JOIN walk w ON n.parent_id = w.id WHERE NOT array_contains(w.path_ids, n.id)
-        ) SELECT id, root_id, depth, path_ids FROM walk"""
-    )
+    known = nodes.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent_id").alias("parent_id"))
+    there = known.select(F.col("id").alias("_parent"))
+    state = known.join(there, F.col("parent_id") == F.col("_parent"), "left").select("id", F.col("_parent").alias("top"), F.array("id").alias("path_ids"))
+    unfinished = None
+    while True:
+        state = checkpointed(state)
+        still = state.where("top IS NOT NULL").count()
+        if still in (0, unfinished):
+            break
+        unfinished = still
+        above = state.select(F.col("id").alias("_id"), F.col("top").alias("_top"), F.col("path_ids").alias("_above"))
+        state = state.join(above, F.col("top") == F.col("_id"), "left").select("id", F.col("_top").alias("top"), F.when(F.col("_above").isNull(), F.col("path_ids")).otherwise(F.concat("_above", "path_ids")).alias("path_ids"))
+    return state.where("top IS NULL").select("id", F.get("path_ids", F.lit(0)).alias("root_id"), (F.size("path_ids") - 1).alias("depth"), "path_ids")
 
 
 def prioritized_lookup(rows: DataFrame, key: str, candidates: list[str], table: DataFrame, table_key: str, value: str) -> DataFrame:

@@ -25,17 +25,19 @@ def stride_slices(spark: SparkSession, root: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(chunking.stride_slices(F.col("text"))).alias("p", "slice")).select("doc_id", (F.col("p") + 1).cast("long").alias("slice_no"), F.md5("slice").alias("digest"))
 
 
-@R.query(rf"SELECT doc_id, md5(trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{{001C}}-\x{{001F}}]')")
+@R.query(rf"SELECT doc_id, md5(trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL")
 def white_space(spark: SparkSession, root: str) -> DataFrame:
     """Texts with single blanks."""
-    return table(spark, root, "documents").where("text IS NOT NULL AND NOT text RLIKE '[\\\\x1c-\\\\x1f]'").select("doc_id", F.md5(text.one_blank(F.col("text"))).alias("digest"))
+    return table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", F.md5(text.one_blank(F.col("text"))).alias("digest"))
 
 
-@R.query(rf"WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), chr(10)), chr(10))) AS line FROM documents WHERE NOT regexp_matches(text, '[\x{{000B}}\x{{000C}}\x{{001C}}-\x{{001E}}\x{{0085}}\x{{2028}}\x{{2029}}]')) SELECT doc_id, count(*) AS n_lines FROM l WHERE trim(regexp_replace(line, '{_SPACE}', ' ', 'g')) <> '' GROUP BY 1")
+_LINE_ENDS = r"\r\n|[\r\n\x{000B}\x{000C}\x{001C}-\x{001E}\x{0085}\x{2028}\x{2029}]"
+
+
+@R.query(rf"WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{_LINE_ENDS}')) AS line FROM documents) SELECT doc_id, count(*) AS n_lines FROM l WHERE trim(regexp_replace(line, '{_SPACE}', ' ', 'g')) <> '' GROUP BY 1")
 def line_blocks(spark: SparkSession, root: str) -> DataFrame:
     """Lines of every document that are not blank."""
-    d = table(spark, root, "documents").where(~F.col("text").rlike("[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"))
-    return d.select("doc_id", F.size(text.line_blocks(F.col("text"))).cast("long").alias("n_lines")).where("n_lines > 0")
+    return table(spark, root, "documents").select("doc_id", F.size(text.line_blocks(F.col("text"))).cast("long").alias("n_lines")).where("n_lines > 0")
 
 
 @R.query("WITH b AS (SELECT prep_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS place FROM preprocessed), t AS (SELECT prep_id, place, b.text AS x, lag(b.text) OVER (PARTITION BY prep_id ORDER BY place) AS before FROM b WHERE b.text IS NOT NULL) SELECT prep_id, count(*) AS kept FROM t WHERE before IS NULL OR x <> before GROUP BY 1")
@@ -294,10 +296,13 @@ def stored_sources(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "chat_messages").where("sources IS NOT NULL").select("id", F.explode(browse.stored_sources(F.col("sources"))).alias("s")).select("id", "s.title")
 
 
-@R.query(r"SELECT DISTINCT id, CASE WHEN length(trim(regexp_replace(title, '\s+', ' ', 'g'))) > 12 THEN left(trim(regexp_replace(title, '\s+', ' ', 'g')), 12) || '…' ELSE trim(regexp_replace(title, '\s+', ' ', 'g')) END AS short FROM chats WHERE title IS NOT NULL AND NOT contains(title, chr(160))")
+_ONE_TITLE = f"trim(regexp_replace(title, '{_SPACE}', ' ', 'g'))"
+
+
+@R.query(f"SELECT DISTINCT id, CASE WHEN length({_ONE_TITLE}) > 12 THEN left({_ONE_TITLE}, 12) || '…' ELSE {_ONE_TITLE} END AS short FROM chats WHERE title IS NOT NULL")
 def chat_titles(spark: SparkSession, root: str) -> DataFrame:
     """Short titles of chats."""
-    return table(spark, root, "chats").where(~F.col("title").contains(" ")).select("id", text.chat_title(F.col("title"), 12).alias("short")).distinct()
+    return table(spark, root, "chats").where("title IS NOT NULL").select("id", text.chat_title(F.col("title"), 12).alias("short")).distinct()
 
 
 @R.query("SELECT category, CASE category WHEN '공지사항' THEN 1 WHEN '학사안내' THEN 2 ELSE 999 END AS place, count(*) AS n FROM rag_sources GROUP BY ALL")

@@ -37,7 +37,7 @@ _BASE = f"""
 WITH q AS (SELECT embedding::DOUBLE[384] AS v FROM rag_chunks WHERE {_USABLE} ORDER BY id LIMIT 1),
 usable AS (SELECT * FROM rag_chunks WHERE {_USABLE}),
 scored AS (
-  SELECT c.id, c.source_id, s.source_slug, s.source_type, s.title, s.url, c.chunk_id, c.chunk_index, c.content,
+  SELECT c.id, c.source_id, s.source_slug, s.source_type, s.title, s.url, map_from_entries(list_concat(list_filter(map_entries(coalesce(s.metadata, MAP {{}})), lambda e: NOT list_contains(map_keys(coalesce(c.metadata, MAP {{}})), e.key)), map_entries(coalesce(c.metadata, MAP {{}})))) AS metadata, c.chunk_id, c.chunk_index, c.content,
          coalesce(c.metadata['category'], s.metadata['category']) AS category, s.metadata['doc_title'] AS doc_title, s.metadata['source_file'] AS source_file,
          list_cosine_similarity(c.embedding::DOUBLE[384], q.v) AS similarity
   FROM usable c JOIN rag_sources s ON s.id = c.source_id AND s.status = 'active', q
@@ -179,10 +179,14 @@ def chunk_ids(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "rag_chunks").select("id", content_hash(F.col("content")).alias("digest"), chunk_key(F.col("source_id"), F.col("chunk_index")).alias("expected_id"))
 
 
-@R.query(r"SELECT id, CASE WHEN trim(regexp_replace(content, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(content, '\s+', ' ', 'g')), ' ')) END AS tokens, CASE WHEN length(trim(regexp_replace(content, '\s+', ' ', 'g'))) > 100 THEN left(trim(regexp_replace(content, '\s+', ' ', 'g')), 100) || '...' ELSE trim(regexp_replace(content, '\s+', ' ', 'g')) END AS snippet FROM rag_chunks WHERE content IS NOT NULL AND NOT regexp_matches(content, '[\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0b]')")
+_SPACE = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}\x{001C}-\x{001F}]+"
+_TIDY = f"trim(regexp_replace(content, '{_SPACE}', ' ', 'g'))"
+
+
+@R.query(f"SELECT id, CASE WHEN {_TIDY} = '' THEN 0 ELSE len(string_split({_TIDY}, ' ')) END AS tokens, CASE WHEN length({_TIDY}) > 100 THEN left({_TIDY}, 100) || '...' ELSE {_TIDY} END AS snippet FROM rag_chunks WHERE content IS NOT NULL")
 def token_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Tokens and a snippet of every chunk whose white space is plain."""
-    plain = table(spark, root, "rag_chunks").where(~F.col("content").rlike("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x0b]"))
+    """Tokens and a snippet of every chunk."""
+    plain = table(spark, root, "rag_chunks").where("content IS NOT NULL")
     return plain.select("id", token_count(F.col("content")).cast("long").alias("tokens"), snippet(F.col("content"), 100).alias("snippet"))
 
 
@@ -359,14 +363,4 @@ def hashed_vectors(spark: SparkSession, root: str) -> DataFrame:
     return features.with_hashed_vector(table(spark, root, "rag_chunks").select("id", "content"), "content", 384, "vector").select("id", "vector")
 
 
-@R.query()
-def prompt_text(spark: SparkSession, root: str) -> DataFrame:
-    """The prompt made of the results of a search."""
-    from corpusmill.operators.questions import prompt
-
-    found = search.match(table(spark, root, "rag_chunks"), table(spark, root, "rag_sources"), _query_vector(spark, root), 5, 0.0)
-    placed = found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("similarity").desc(), "id")))
-    return prompt(placed, "rank")
-
-
 QUERIES, ORACLES = R.queries, R.oracles
