@@ -35,6 +35,7 @@ RATIO = 12.0
 UNKNOWN = 0.5
 #: How much better the original must fit the neighbours.
 FIT = 4.0
+#: Size of the vectors, and what neighbours at a distance of one and two words weigh in their training.
 DIM, WINDOW_WEIGHT = 48, (1.0, 0.5)
 EDGE = 3
 #: In how many times as many documents a form must be furniture as it is text.
@@ -171,8 +172,33 @@ class Page:
         return [self.filled[:EDGE], self.filled[: -EDGE - 1 : -1]]
 
 
+def _near_keys(form: str) -> Iterator[tuple]:
+    """Keys of which two forms that are :func:`_close` share one.
+
+    Forms of one length differ in at most ``len // 6`` letters (one at least), so of one part more than
+    that one is the same in both; of two lengths they differ in one place of at most two letters, so the
+    half before or behind it is the same.
+    """
+    size = len(form)
+    if size < 4:
+        return
+    parts = max(1, size // 6) + 1
+    for i in range(parts):
+        at = i * size // parts
+        yield size, i, form[at : (i + 1) * size // parts]
+    for shorter in (size, size - 1):
+        half = (shorter - 2) // 2
+        if half > 0:
+            yield shorter, "starts", form[:half]
+            yield shorter, "ends", form[-half:]
+
+
 def repeated_edges(pages: list[Page]) -> dict[str, int]:
-    """Parts of edge lines that come back on another page of the document, and on how many they stand."""
+    """Parts of edge lines that come back on another page of the document, and on how many they stand.
+
+    A part counts where one stands that differs by little.  Parts are compared only with those that share
+    a key, so that the work grows with the pages and not with their square.
+    """
     on: dict[str, set[int]] = defaultdict(set)
     for k, page in enumerate(pages):
         for edge in page.edges():
@@ -180,25 +206,34 @@ def repeated_edges(pages: list[Page]) -> dict[str, int]:
                 for part in _parts(page.lines[i]):
                     if _page_number(part) is None:
                         on[part].add(k)
-    forms = list(on)
+    by_key: dict[tuple, list[str]] = defaultdict(list)
+    for form in on:
+        for key in _near_keys(form):
+            by_key[key].append(form)
     found = {}
-    for form in forms:
-        places = set(on[form])
-        for other in forms:
-            if other != form and not on[other] <= places and _close(form, other):
-                places |= on[other]
-        if len(places) >= 2 and not _SENTENCE_END.search(form):
+    for form, own in on.items():
+        if _SENTENCE_END.search(form):
+            continue
+        places = set(own)
+        compared = {form}
+        for key in _near_keys(form):
+            for other in by_key[key]:
+                if other not in compared:
+                    compared.add(other)
+                    if not on[other] <= places and _close(form, other):
+                        places |= on[other]
+        if len(places) >= 2:
             found[form] = len(places)
     return found
 
 
-def furniture(pages: list[Page], model: Model | None = None) -> list[set[int]]:
+def furniture(pages: list[Page], model: Model | None = None, repeated: dict[str, int] | None = None) -> list[set[int]]:
     """The numbers of the furniture lines of every page.
 
     From the outside inward, a line counts while each of its parts is a page number that agrees with
     those of the other pages, comes back on another page, or is known as furniture of other documents.
     """
-    repeated = repeated_edges(pages)
+    repeated = repeated_edges(pages) if repeated is None else repeated
     offsets: Counter = Counter()
     for page in pages:
         for n in {n for edge in page.edges() for i in edge for p in _parts(page.lines[i]) if (n := _page_number(p)) is not None and n >= 0}:
@@ -399,7 +434,7 @@ def _as_pages(pages: list[dict]) -> list[Page]:
 
 
 def corpus_counts(preprocessed: DataFrame) -> DataFrame:
-    """``(kind, key, n)``: words, pairs of neighbours, and forms at page edges, over all pages.
+    """``(kind, key, n)``: words, pairs of neighbours, of words with one between them, and forms at page edges, over all pages.
 
     Counted in each task before anything is shuffled.
     """
@@ -407,13 +442,14 @@ def corpus_counts(preprocessed: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         pairs: Counter = Counter()
+        wide: Counter = Counter()
         forms: Counter = Counter()
 
         def handed_on() -> pa.RecordBatch:
-            kinds = ["w"] * len(words) + ["p"] * len(pairs) + ["f"] * len(forms)
-            keys = [*words, *(f"{a}\t{b}" for a, b in pairs), *forms]
-            batch = pa.RecordBatch.from_pydict({"kind": kinds, "key": keys, "n": pa.array([*words.values(), *pairs.values(), *forms.values()], pa.int64())})
-            for c in (words, pairs, forms):
+            kinds = ["w"] * len(words) + ["p"] * len(pairs) + ["q"] * len(wide) + ["f"] * len(forms)
+            keys = [*words, *(f"{a}\t{b}" for c in (pairs, wide) for a, b in c), *forms]
+            batch = pa.RecordBatch.from_pydict({"kind": kinds, "key": keys, "n": pa.array([*words.values(), *pairs.values(), *wide.values(), *forms.values()], pa.int64())})
+            for c in (words, pairs, wide, forms):
                 c.clear()
             return batch
 
@@ -430,7 +466,7 @@ def corpus_counts(preprocessed: DataFrame) -> DataFrame:
                             # Lines that fill the page are running text, whatever they begin with.
                             if _page_number(p) is None and not _SENTENCE_END.search(p) and len(p) < SHORT * width:
                                 (kept if p in repeated else text).add(beginning(p))
-                for page, skip in zip(pages, furniture(pages), strict=True):
+                for page, skip in zip(pages, furniture(pages, None, repeated), strict=True):
                     for i in page.filled:
                         parts = _parts(page.lines[i])
                         if i in skip:
@@ -441,21 +477,22 @@ def corpus_counts(preprocessed: DataFrame) -> DataFrame:
                     keys = reading_order(page, skip).keys
                     words.update(keys)
                     pairs.update(zip(keys, keys[1:], strict=False))
+                    wide.update(zip(keys, keys[2:], strict=False))
                 forms.update(f"+{f}" for f in kept)
                 forms.update(f"-{f}" for f in text)
                 forms["documents"] += 1
-            if len(words) + len(pairs) + len(forms) > FLUSH:
+            if len(words) + len(pairs) + len(wide) + len(forms) > FLUSH:
                 yield handed_on()
         yield handed_on()
 
     return _scanned(preprocessed).mapInArrow(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def learn_vectors(words: dict[str, int], pairs: dict[tuple[str, str], int], epochs: int = 12, negatives: int = 4) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Skip-gram vectors with negative sampling, trained on the counted pairs in both directions."""
+def learn_vectors(words: dict[str, int], pairs: dict[tuple[str, str], int], wide: dict[tuple[str, str], int] | None = None, epochs: int = 12, negatives: int = 4) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Skip-gram vectors with negative sampling, trained on the counted pairs of a window of two words in both directions."""
     names = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))]
     index = {w: i for i, w in enumerate(names)}
-    known = [(index[a], index[b], n) for (a, b), n in pairs.items() if a in index and b in index]
+    known = [(index[a], index[b], n * weight) for counts, weight in zip((pairs, wide or {}), WINDOW_WEIGHT, strict=True) for (a, b), n in counts.items() if a in index and b in index]
     if not known:
         return {}, {}
     left, right, n = (np.array(x) for x in zip(*known, strict=True))
@@ -487,14 +524,15 @@ def learn(preprocessed: DataFrame) -> dict:
     try:
         total = {r["kind"]: r["n"] for r in counts.where("kind != 'f'").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
         documents = counts.where("key = 'documents' and kind = 'f'").agg(F.sum("n")).first()[0] or 0
-        least = {"w": max(LEAST, WORD_SHARE * total.get("w", 0)), "p": max(LEAST, PAIR_SHARE * total.get("p", 0)), "f": max(2, FORM_SHARE * documents)}
+        pair = max(LEAST, PAIR_SHARE * total.get("p", 0))
+        least = {"w": max(LEAST, WORD_SHARE * total.get("w", 0)), "p": pair, "q": pair, "f": max(2, FORM_SHARE * documents)}
         kept: dict[str, dict] = {}
         for kind, n in least.items():
             rows = counts.where((F.col("kind") == kind) & (F.col("n") >= n)).select("key", "n").collect()
-            kept[kind] = {(tuple(r["key"].split("\t")) if kind == "p" else r["key"]): r["n"] for r in sorted(rows, key=lambda r: r["key"])}
+            kept[kind] = {(tuple(r["key"].split("\t")) if kind in "pq" else r["key"]): r["n"] for r in sorted(rows, key=lambda r: r["key"])}
     finally:
         counts.unpersist()
-    vectors, contexts = learn_vectors({w: n for w, n in kept["w"].items() if n >= VECTOR_SHARE * total.get("w", 0)}, kept["p"])
+    vectors, contexts = learn_vectors({w: n for w, n in kept["w"].items() if n >= VECTOR_SHARE * total.get("w", 0)}, kept["p"], kept["q"])
     return {"words": kept["w"], "pairs": kept["p"], "vectors": vectors, "contexts": contexts, "forms": kept["f"], "least": least["w"]}
 
 
@@ -578,15 +616,14 @@ def repaired(page: Page, skip: set[int], stream: Stream, fixed: dict[int, str])
     return "\n".join(p.strip() for p in paragraphs)
 
 
-_BUILT: dict[int, Model] = {}
+_BUILT: list[tuple[dict, Model]] = []
 
 
 def _model(parts: dict) -> Model:
-    """The model with its index, built once in a worker."""
-    if id(parts) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[id(parts)] = Model(**parts)
-    return _BUILT[id(parts)]
+    """The model with its index, built once in a worker; what it was built of is kept, so that it is known again."""
+    if not _BUILT or _BUILT[0][0] is not parts:
+        _BUILT[:] = [(parts, Model(**parts))]
+    return _BUILT[0][1]
 
 
 def repair_pages(preprocessed: DataFrame, parts: dict | None = None) -> DataFrame:
