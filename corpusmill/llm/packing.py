@@ -151,12 +151,13 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity
 
     Documents are dealt out at random, in groups that fill about ``CONTAINERS_A_TASK``
     containers, and each group is packed by itself: only keys and sizes are shuffled, a group
-    is bounded, and none depends on another.  Repeated rows are separate documents.
+    is bounded, and none depends on another.  Repeated rows are separate documents, and are dealt
+    out by their place in the input, so that many of one key do not meet in one group.
     """
     pieces = sized_pieces(documents, key, text, capacity)
     total = documents.agg(F.sum(byte_tokens(F.col(text)).cast("long"))).first()[0] or 0
     groups = max(1, round(total / capacity / CONTAINERS_A_TASK))
-    dealt = pieces.select(F.col(key).alias("_key"), "piece_no", "start", "tokens", F.pmod(F.xxhash64(F.col(key), "piece_no"), F.lit(groups)).cast("int").alias("_group"))
+    dealt = pieces.select(F.col(key).alias("_key"), "piece_no", "start", "tokens", F.pmod(F.xxhash64(F.col(key), "piece_no", F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("_group"))
     kind = dealt.schema["_key"].dataType.simpleString()
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:

@@ -74,6 +74,17 @@ def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_items(splitting.oversized_items(table(spark, root, "preprocessed")), ["prep_id", "item_kind", "item_no"])
 
 
+def p6_checked(spark: SparkSession, root: str) -> DataFrame:
+    """(item_kind, items, chars, faults): what the pieces put together again are, and in how many something is wrong with a piece."""
+    keys = ["prep_id", "item_kind", "item_no"]
+    pieces = p6_pieces(spark, root).withColumn("size", F.length("piece"))
+    wrong = (F.col("size") > splitting.MAX_CHARS) | (F.col("size") <= F.when(F.col("piece_no") > 1, splitting.OVERLAP).otherwise(0))
+    # All pieces but the first begin 120 characters before the end of the one before.
+    ends = pieces.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col("start") + F.col("size")).alias("whole"), F.sum("size").alias("sum"), F.bool_or(wrong).alias("wrong"))
+    faulty = F.col("wrong") | (F.col("sum") - splitting.OVERLAP * (F.col("n") - 1) != F.col("whole"))
+    return ends.groupBy("item_kind").agg(F.count("*").alias("items"), F.sum("whole").alias("chars"), F.count(F.when(faulty, 1)).alias("faults"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """(chunk_a, chunk_b): pairs of which either is among the 5 most similar of the other."""
     return neighbours.neighbour_pairs(table(spark, root, "rag_chunks"))
@@ -89,6 +100,13 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
 
+def p8_checked(spark: SparkSession, root: str) -> DataFrame:
+    """(documents, tokens, overfull): what was packed, and how many containers hold more than they may."""
+    packed = packing.pack(table(spark, root, "documents"))
+    loads = packed.groupBy("container").agg(F.sum("tokens").alias("load"), F.count(F.when(F.col("piece_no") == 1, 1)).alias("begun"))
+    return loads.agg(F.sum("begun").alias("documents"), F.sum("load").alias("tokens"), F.count(F.when(F.col("load") > packing.CAPACITY, 1)).alias("overfull"))
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return leakage.find_leaks(table(spark, root, "documents"), leakage.held_out(table(spark, root, "eval_items")))
 
@@ -189,12 +207,20 @@ t AS (SELECT a, min(c) AS kth FROM k WHERE place <= 5 GROUP BY a)
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM s JOIN t USING (a) WHERE c >= kth - 0.000001
 """
 
+P6_CHECKED_SQL = """
+WITH b AS (SELECT unnest(blocks) AS item FROM preprocessed), c AS (SELECT unnest(chunks) AS item FROM preprocessed)
+SELECT item_kind, count(*) AS items, sum(n)::BIGINT AS chars, 0 AS faults
+FROM (SELECT 'block' AS item_kind, length(item.text) AS n FROM b UNION ALL SELECT 'chunk', length(item.text) FROM c) WHERE n > 900 GROUP BY 1
+"""
+
+P8_CHECKED_SQL = "SELECT count(*) AS documents, sum(strlen(text) + 1)::BIGINT AS tokens, 0 AS overfull FROM documents WHERE text IS NOT NULL"
+
 P8_SQL = "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) + 1 > 4096"
 
 QUERIES = {
     "p2_found": p2_found, "p2_pages": p2_pages,
     "p4_found": p4_found, "p4_bodies": p4_bodies, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_dialogues": p5_dialogues,
-    "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_containers": p8_containers,
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_checked": p6_checked, "p8_checked": p8_checked, "p8_found": p8_found, "p8_containers": p8_containers,
     "p7_found": p7_found, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
-ORACLES = {"p5_found": P5_SQL, "p5_dialogues": P5_DIALOGUES_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
+ORACLES = {"p5_found": P5_SQL, "p5_dialogues": P5_DIALOGUES_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL, "p6_checked": P6_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}

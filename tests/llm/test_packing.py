@@ -52,3 +52,17 @@ def test_operator(spark):
     for doc, size in ((1, 9001), (7, 300_001)):
         assert sum(t for _, t in pieces[doc]) == size
     assert pack(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_dealt_out(spark, monkeypatch):
+    from corpusmill.llm import packing
+
+    monkeypatch.setattr(packing, "CONTAINERS_A_TASK", 20)
+    df = spark.createDataFrame([(1, "x" * 1000)], "doc_id long, text string").crossJoin(spark.range(1200).select()).repartition(3)
+    found = pack(df).collect()
+    assert len(found) == 1200
+    groups = {}
+    for r in found:
+        groups[r.container.split("-")[0]] = groups.get(r.container.split("-")[0], 0) + 1
+    # 1.2 million tokens are about 15 groups, none of which has a great part of the rows.
+    assert len(groups) > 10 and max(groups.values()) < 200
