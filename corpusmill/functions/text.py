@@ -1,4 +1,4 @@
-"""Text functions as column expressions (all JVM-side).
+"""Text functions as column expressions, JVM-side but for the cleaner.
 
 Java's ``\\w \\s \\d`` are ASCII unless a pattern starts with ``(?U)``; every pattern that means
 Unicode classes says so.  Null in gives null out unless a function says otherwise.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +22,6 @@ CARET = "\\(?\\^+\\s*\\d+[.)]?\\)?"
 FORMULA = "=[A-Z][A-Z0-9_]*\\([^)\\s]*\\)[^\\s]*"
 FORMAT_CODE = "%[A-Za-z](?:[,;]+)?"
 QUESTIONS = "\\?{2,}"
-REPEATED_SIGN = "(?U)([^\\w\\s\\uac00-\\ud7a3])\\1{3,}"
-SPACED_HANGUL = "(?U)(?<![\\uac00-\\ud7a3])(?:[\\uac00-\\ud7a3]\\s+){3,}[\\uac00-\\ud7a3](?![\\uac00-\\ud7a3])"
 #: Where lines end besides ``\n`` and what is left of the others after control characters became blanks.
 LINE_END = "\\n|\\x85|\\u2028|\\u2029"
 
@@ -59,12 +58,6 @@ def normalized_lines(text: Column) -> Column:
     return _strip(F.array_join(F.transform(F.split(value, LINE_END), _tight), "\n"))
 
 
-def _without_artefacts(text: Column) -> Column:
-    for pattern in (FORMULA, FORMAT_CODE, QUESTIONS, DOT_LEADERS):
-        text = F.regexp_replace(text, pattern, " ")
-    return F.regexp_replace(text, REPEATED_SIGN, "$1$1")
-
-
 def is_noise_line(line: Column) -> Column:
     """Blank lines, rules of signs, caret markers alone, and ``n / m``."""
     return let(_strip(line), _says_nothing)
@@ -80,26 +73,29 @@ def consecutive_distinct(lines: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    """Extracted text without the traces of layout: box drawing, caret markers, formulas, format
-    codes, leaders, repeated signs, spaced-out Hangul, noise lines and repeated lines."""
-    value = normalized_lines(text)
-    for pattern in (BOX_DRAWING, CARET_RUN, CARET):
-        value = F.regexp_replace(value, pattern, " ")
-    value = let(_without_artefacts(value), _pulled_together)
-    lines = F.transform(F.split(value, LINE_END), lambda line: _tight(_without_artefacts(line)))
-    kept = let(F.filter(lines, lambda line: ~is_noise_line(line)), lambda x: F.filter(x, lambda line, i: (i == 0) | (line != F.get(x, i - 1))))
-    return _tight(F.regexp_replace(F.array_join(kept, "\n"), "\\n{3,}", "\n\n"))
+    """Extracted text without the traces of layout, '' for null (:mod:`corpusmill.functions.cleaning`).
 
+    Arrow batches: a dozen patterns over every text are compiled once there, and most are skipped by
+    a look for their sign.  Not to be used inside a lambda, which has no place for Python.
+    """
+    from corpusmill.functions.cleaning import clean
 
-def _pulled_together(value: Column) -> Column:
-    """Runs of four or more single Hangul syllables without the blanks between them."""
-    runs = F.regexp_extract_all(value, F.lit(f"({SPACED_HANGUL})"), F.lit(1))
-    return F.aggregate(runs, value, lambda acc, run: F.replace(acc, run, F.replace(run, F.lit(" "), F.lit(""))))
+    return _each(clean)(text)
 
 
 def block_text(text: Column) -> Column:
     """Cleaned text on one line."""
-    return F.replace(cleaned(text), F.lit("\n"), F.lit(" "))
+    from corpusmill.functions.cleaning import clean_block
+
+    return _each(clean_block)(text)
+
+
+def _each(function: Callable[[str | None], str]) -> Callable[[Column], Column]:
+    @F.arrow_udf("string")
+    def apply(texts: pa.Array) -> pa.Array:
+        return pa.array([function(t) for t in texts.to_pylist()], pa.string())
+
+    return apply
 
 
 def line_blocks(text: Column) -> Column:

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.cleaning import clean, clean_block
 from corpusmill.functions.ids import chunk_key
-from corpusmill.functions.text import block_text, cleaned, line_blocks, one_blank
+from corpusmill.functions.text import one_blank
 
 SIZE, OVERLAP = 900, 120
 CHUNK = "array<struct<chunk_id: int, text: string, num_lines: int, num_chars: int>>"
@@ -99,21 +100,20 @@ def sectioned(lines: list[tuple[str, str]], size: int = SIZE, overlap: int = OVE
 def with_sectioned_chunks(documents: DataFrame, blocks: str = "blocks", section: str = "section", size: int = SIZE, overlap: int = OVERLAP, name: str = "chunks") -> DataFrame:
     """``documents`` with chunks of the lines of their blocks that name the sections they hold.
 
-    ``section`` is the field of a block that names its section, ``unknown`` where it is blank.  Lines
-    are tidied in the JVM; documents without any text have no chunks.
+    ``section`` is the field of a block that names its section, ``unknown`` where it is blank.  Documents
+    without any text have no chunks.  Cleaning and packing are one pass over the texts of a document.
     """
-    named = lambda b: one_blank(F.coalesce(b[section], F.lit("")))
-    lines = lambda b: F.transform(line_blocks(cleaned(b["text"])), lambda line: F.struct(line.alias("line"), F.when(named(b) == "", "unknown").otherwise(named(b)).alias("section")))
-    every = F.flatten(F.transform(F.coalesce(F.col(blocks), F.array()), lines))
+    fields = F.transform(F.coalesce(F.col(blocks), F.array()), lambda b: F.struct(b["text"].alias("text"), b[section].alias("section")))
 
     @F.pandas_udf(SECTIONED_CHUNK)
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([sectioned([(x["line"], x["section"]) for x in found], size, overlap) for found in batch])
+            lines = [[(tidy, " ".join((b["section"] or "").split()) or "unknown") for b in found for line in clean(b["text"]).splitlines() if (tidy := " ".join(line.split()))] for found in batch]
+            yield pd.Series([sectioned(own, size, overlap) for own in lines])
 
-    # The lines are named twice, so that the planner works them out before Python sees them.
-    packed_lines = F.when(F.size("_lines") > 0, pack("_lines")).otherwise(F.array().cast(SECTIONED_CHUNK))
-    return documents.withColumn("_lines", every).withColumn(name, packed_lines).drop("_lines")
+    # The fields are named twice, so that the planner works them out before Python sees them.
+    packed_blocks = F.when(F.size("_fields") > 0, pack("_fields")).otherwise(F.array().cast(SECTIONED_CHUNK))
+    return documents.withColumn("_fields", fields).withColumn(name, packed_blocks).drop("_fields")
 
 
 def fallback_text(fields: list[tuple[str, Column]]) -> Column:
@@ -125,19 +125,23 @@ def fallback_text(fields: list[tuple[str, Column]]) -> Column:
 def with_chunks(documents: DataFrame, blocks: str = "blocks", fallback: Column | None = None, size: int = SIZE, overlap: int = OVERLAP, name: str = "chunks") -> DataFrame:
     """``documents`` with the chunks of their blocks, and ``used_metadata_fallback``.
 
-    Block texts are cleaned in the JVM.  Documents without any text get the ``fallback`` text as
-    their one chunk without overlap, if there is any.
+    Cleaning and packing are one pass over the texts of a document.  Documents without any text get the
+    ``fallback`` text as their one chunk without overlap, if there is any.
     """
-    texts = F.filter(F.transform(F.coalesce(F.col(blocks), F.array()), lambda b: block_text(b["text"])), lambda t: t != "")
-    prepared = documents.withColumn("_texts", texts).withColumn("_fallback", fallback if fallback is not None else F.lit(""))
-
-    @F.pandas_udf(CHUNK)
-    def pack(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, fallbacks in batches:
-            yield pd.Series([packed(list(t), size, overlap) if len(t) else packed([f], size, 0) if f else [] for t, f in zip(texts, fallbacks, strict=True)])
-
-    done = prepared.withColumn(name, pack("_texts", "_fallback")).withColumn("used_metadata_fallback", (F.size("_texts") == 0) & (F.size(name) > 0))
-    return done.drop("_texts", "_fallback")
+    raw = F.transform(F.coalesce(F.col(blocks), F.array()), lambda b: b["text"])
+    prepared = documents.withColumn("_raw", raw).withColumn("_fallback", fallback if fallback is not None else F.lit(""))
+    kind = f"struct<chunks: {CHUNK}, fell_back: boolean>"
+
+    @F.pandas_udf(kind)
+    def pack(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for raws, fallbacks in batches:
+            texts = [[t for block in own if (t := clean_block(block))] for own in raws]
+            chunks = [packed(own, size, overlap) if own else packed([f], size, 0) if f else [] for own, f in zip(texts, fallbacks, strict=True)]
+            yield pd.DataFrame({"chunks": chunks, "fell_back": [not own and bool(c) for own, c in zip(texts, chunks, strict=True)]})
+
+    # The texts are named twice, so that the planner works them out before Python sees them.
+    done = prepared.withColumn("_packed", F.when(F.size("_raw") >= 0, pack("_raw", "_fallback")))
+    return done.withColumn(name, F.col("_packed.chunks")).withColumn("used_metadata_fallback", F.col("_packed.fell_back")).drop("_raw", "_fallback", "_packed")
 
 
 def chunk_records(documents: DataFrame, slug: str, chunks: str, metadata: Column) -> DataFrame:
