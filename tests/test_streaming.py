@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from corpusmill.operators.store import KeyedTable
-from corpusmill.streaming.posts import changed_stream, miss_counts, run_available, upsert_stream, windowed_counts
+from corpusmill.streaming.posts import alone, changed_stream, miss_counts, run_available, upsert_stream, windowed_counts
 
 
 def stream(spark, path, rows, schema):
@@ -36,11 +38,22 @@ def test_miss_counts(spark, tmp_path):
 
 
 def test_changed_stream_keeps_state_between_runs(spark, tmp_path):
-    schema = "k string, h string"
-    query = changed_stream(stream(spark, f"{tmp_path}/in", [("a", "1"), ("b", "1")], schema), "k", "h")
-    assert sorted(collected(spark, query, f"{tmp_path}/ck")) == [("a", "1", "new"), ("b", "1", "new")]
-    stream(spark, f"{tmp_path}/in", [("a", "1"), ("b", "2")], schema)
-    assert collected(spark, query, f"{tmp_path}/ck") == [("b", "2", "updated")]
+    schema = "k string, h string, v long"
+    # Out of order within a batch, a version twice, a missing digest.
+    rows = [("a", "2", 5), ("a", "1", 1), ("b", "1", 1), ("a", "2", 4), ("a", "2", 5), ("c", None, 1)]
+    query = changed_stream(stream(spark, f"{tmp_path}/in", rows, schema), "k", "h", "v")
+    assert sorted(collected(spark, query, f"{tmp_path}/ck")) == [("a", 1, "1", "new"), ("a", 4, "2", "updated"), ("b", 1, "1", "new")]
+    stream(spark, f"{tmp_path}/in", [("a", "2", 6), ("b", "2", 2), ("a", "0", 3)], schema)
+    assert collected(spark, query, f"{tmp_path}/ck") == [("b", 2, "2", "updated")]
+
+
+def test_runs_do_not_overlap(spark, tmp_path):
+    lock = f"{tmp_path}/x.lock"
+    with alone(spark, lock):
+        with pytest.raises(RuntimeError, match="another run"), alone(spark, lock):
+            pass
+    with alone(spark, lock):
+        pass
 
 
 def test_windowed_counts(spark, tmp_path):
