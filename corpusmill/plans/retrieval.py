@@ -363,4 +363,59 @@ def hashed_vectors(spark: SparkSession, root: str) -> DataFrame:
     return features.with_hashed_vector(table(spark, root, "rag_chunks").select("id", "content"), "content", 384, "vector").select("id", "vector")
 
 
+_OVERLAPS = f"""{_FEATURES},
+rules AS (SELECT DISTINCT feature FROM f JOIN rag_chunks c USING (id) WHERE c.metadata['category'] = '학사안내'),
+main AS (SELECT DISTINCT feature FROM f JOIN rag_chunks c USING (id) WHERE c.metadata['category'] = '비교과'),
+g AS (SELECT c.source_id AS id, feature, count(*) AS n FROM f JOIN rag_chunks c USING (id) GROUP BY ALL),
+o AS (SELECT g.id, sum(n) AS total, sum(CASE WHEN rules.feature IS NOT NULL THEN n ELSE 0 END) / sum(n) AS by_rules, sum(CASE WHEN main.feature IS NOT NULL THEN n ELSE 0 END) / sum(n) AS by_main FROM g LEFT JOIN rules USING (feature) LEFT JOIN main USING (feature) GROUP BY 1),
+{_PARTS.strip().removeprefix('WITH ')}
+"""
+
+
+def _overlaps(spark: SparkSession, root: str) -> DataFrame:
+    """The sources with the shares of their chunks' features that two categories have."""
+    chunks = table(spark, root, "rag_chunks")
+    parts = _scored(spark, root)
+    for name, category in (("by_rules", "학사안내"), ("by_main", "비교과")):
+        reference = features.feature_set(chunks.where(F.col("metadata")["category"] == category), "content")
+        found = features.overlap_ratio(chunks, "source_id", "content", reference).select(F.col("source_id").alias("id"), F.col("ratio").alias(name), F.col("total").alias(f"{name}_total"))
+        parts = parts.join(found, "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return parts.withColumn("total", F.coalesce("by_rules_total", F.lit(0)))
+
+
+@R.query(f"{_OVERLAPS} SELECT id, round(greatest(0.0, least(1.0, 0.35 + 0.24 * greatest(0.0, least(1.0, 0.45 * coalesce(by_rules, 0.0) + 0.35 * recency::DOUBLE + 0.20 * quality + adj)))), 6) AS score FROM k LEFT JOIN o USING (id)")
+def main_score_by_overlap(spark: SparkSession, root: str) -> DataFrame:
+    """The score of notices with the overlap of their own chunks."""
+    s = _overlaps(spark, root)
+    return s.select("id", F.round(scoring.main_score("notice", F.col("by_rules"), F.col("recency"), F.col("quality"), scoring.kind_adjustment(F.col("kind"))), 6).alias("score"))
+
+
+@R.query(f"{_OVERLAPS} SELECT id, CASE WHEN coalesce(total, 0) = 0 THEN 0.0 ELSE round(greatest(0.0, least(1.0, 0.38 * greatest(by_rules, by_main) + 0.27 * recency_d::DOUBLE + 0.30 * page + 0.05 * least(1.0, by_rules + by_main) + adj)), 6) END AS score FROM k LEFT JOIN o USING (id)")
+def department_score_by_overlap(spark: SparkSession, root: str) -> DataFrame:
+    """The score of a department's pages with the overlaps of their own chunks."""
+    s = _overlaps(spark, root)
+    page = scoring.page_role(F.col("title"), F.col("metadata"))["score"]
+    return s.select("id", F.round(scoring.department_score(F.col("total"), F.col("by_rules"), F.col("by_main"), F.col("recency_d"), page, scoring.kind_adjustment(F.col("kind"))), 6).alias("score"))
+
+
+_RANK = "CASE WHEN metadata['category'] = '학사안내' THEN 'hak' WHEN metadata['category'] = '채용' THEN 'gyu' WHEN metadata['category'] = '비교과' THEN 'se' ELSE '' END"
+_HEIGHT = "length(title) % 5"
+
+
+@R.query(f"""{_PARTS}, t AS (SELECT k.*, {_RANK} AS tree_kind, {_HEIGHT} AS depth FROM k),
+u AS (SELECT *, CASE tree_kind WHEN 'hak' THEN 0.90 WHEN 'gyu' THEN 0.70 WHEN 'se' THEN 0.50 ELSE 0.35 END AS base, CASE tree_kind WHEN 'hak' THEN 0.099 WHEN 'gyu' THEN 0.199 WHEN 'se' THEN 0.199 ELSE 0.149 END AS span,
+  CASE WHEN tree_kind = '' THEN 0.35 WHEN tree_kind = 'hak' AND coalesce(depth, 3) <= 1 THEN 1.0 WHEN tree_kind = 'hak' THEN 0.90 WHEN tree_kind = 'gyu' AND coalesce(depth, 3) <= 2 THEN 1.0 WHEN tree_kind = 'gyu' AND coalesce(depth, 3) = 3 THEN 0.80 WHEN tree_kind = 'gyu' THEN 0.65
+    WHEN coalesce(depth, 3) <= 2 THEN 0.85 WHEN coalesce(depth, 3) = 3 THEN 0.70 ELSE 0.55 END AS tree FROM t)
+SELECT id, round(greatest(0.0, least(1.0, base + span * (0.50 * recency_r + 0.35 * tree + 0.15 * least(1.0, 0.45 * len_part + 0.35 * CASE WHEN lower(metadata['source_ext']) IN ('.hwp', '.hwpx', '.pdf', '.docx', '.doc') THEN 0.95 ELSE 0.75 END + 0.20 * name_part)) + CASE WHEN regexp_matches(names, '별표\\s*(?:제)?\\s*\\d+') THEN -0.035 WHEN regexp_matches(names, '별지\\s*(?:제)?\\s*\\d+|서식\\s*(?:제)?\\s*\\d+') THEN -0.07 ELSE 0.0 END))::DOUBLE, 6) AS score FROM u""")
+def rule_score_by_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The score of rules whose authority and depth a tree gives; the others stand in no tree."""
+    s, metadata = _scored(spark, root), F.col("metadata")
+    category = F.coalesce(metadata["category"], F.lit(""))
+    tree_kind = F.when(category == "학사안내", "hak").when(category == "채용", "gyu").when(category == "비교과", "se").otherwise("")
+    authority = scoring.authority(metadata, tree_kind)
+    tree = scoring.tree_score(authority, tree_kind != "", (F.length("title") % 5).cast("string"))
+    kind = scoring.document_kind(F.col("title"), metadata, rules=True)
+    return s.select("id", F.round(scoring.rule_score(authority, F.col("recency_r"), tree, scoring.rule_quality(metadata, F.col("title")), scoring.kind_adjustment(kind, rules=True)), 6).alias("score"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

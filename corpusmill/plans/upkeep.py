@@ -271,6 +271,13 @@ def change_totals(spark: SparkSession, root: str) -> DataFrame:
     return store.change_totals(plan, pieces)
 
 
+@R.query("SELECT capture_id AS id, len(attachments) AS n_attachments FROM notice_posts WHERE contains(replace(lower(coalesce(title, '')), ' ', ''), '안내') AND len(attachments) > 0 AND strftime(crawled_at::timestamptz AT TIME ZONE 'UTC', '%Y-%m-%d') >= '2024-01-01'")
+def posts_view(spark: SparkSession, root: str) -> DataFrame:
+    """Posts with attachments in the document browser."""
+    posts = table(spark, root, "notice_posts").select(F.col("capture_id").alias("id"), "title", "category", F.date_format("crawled_at", "yyyy-MM-dd").alias("date"), F.coalesce(F.when(F.col("attachments").isNotNull(), F.size("attachments")), F.lit(0)).cast("long").alias("n_attachments"))
+    return browse.documents_view(posts, None, "안 내", dt.date(2024, 1, 1), None, True).select("id", "n_attachments")
+
+
 @R.query()
 def section_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Blocks packed into chunks that name their sections."""
