@@ -7,7 +7,9 @@ writer that dies leaves none that is read.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,42 +116,82 @@ def quarantine(rows: DataFrame, tests: dict[str, Column]) -> tuple[DataFrame, Da
 
 
 class KeyedTable:
-    """A versioned Parquet table with a unique key."""
+    """A versioned Parquet table with a unique key.
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: T.StructType) -> None:
-        self.spark, self.root, self.keys, self.schema = spark, root.rstrip("/"), keys, schema
+    Rows are kept in ``buckets`` by the hash of their key.  A commit names the folder of every bucket, so
+    an upsert or delete reads and writes the buckets it has keys of, and takes over the others as they are.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: T.StructType, buckets: int = 64) -> None:
+        self.spark, self.root, self.keys, self.schema, self.buckets = spark, root.rstrip("/"), keys, schema, buckets
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[str]:
+    def _commits(self) -> list[str]:
         folder = self._path(f"{self.root}/commits")
         if not self._fs.exists(folder):
             return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
-        return [n.split("-", 1)[1] for n in names if n[:10].isdigit()]
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(folder)) if n[:10].isdigit())
+
+    def versions(self) -> list[str]:
+        return [n.split("-", 1)[1] for n in self._commits()]
 
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def read(self) -> DataFrame:
-        found = self.versions()
+    def folders(self) -> dict[int, str]:
+        """The folder of every bucket that has rows, as of the last commit."""
+        found = self._commits()
         if not found:
+            return {}
+        stream = self._fs.open(self._path(f"{self.root}/commits/{found[-1]}"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {int(b): f for b, f in json.loads(text).items()}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{found[-1]}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/data/{f}" for f in folders])
 
-    def write(self, rows: DataFrame) -> None:
-        """Make ``rows`` the table.  Fails if another writer has committed since."""
-        number, name = len(self.versions()), uuid.uuid4().hex
-        rows.select(*self.schema.fieldNames()).write.parquet(f"{self.root}/data/{name}")
+    def read(self) -> DataFrame:
+        return self._read(sorted(self.folders().values()))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def _commit(self, number: int, kept: dict[int, str], rows: DataFrame) -> None:
+        """Write ``rows``, bucket by bucket, and make them the table together with the buckets kept."""
+        name = uuid.uuid4().hex
+        # One file for each bucket and no more, however many tasks there are.
+        placed = rows.select(*self.schema.fieldNames(), self._bucket().alias("_bucket")).repartition("_bucket")
+        placed.write.partitionBy("_bucket").parquet(f"{self.root}/data/{name}")
+        made = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/data/{name}"))]
+        folders = kept | {int(n.split("=")[1]): f"{name}/{n}" for n in made if n.startswith("_bucket=")}
         self._fs.mkdirs(self._path(f"{self.root}/commits"))
-        taken = [n for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/commits"))) if n.startswith(f"{number:010d}-")]
         staged = self._path(f"{self.root}/staged-{name}")
-        self._fs.create(staged).close()
+        out = self._fs.create(staged)
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        taken = any(n.startswith(f"{number:010d}-") for n in self._commits())
         if taken or not self._fs.rename(staged, self._path(f"{self.root}/commits/{number:010d}-{name}")):
             raise RuntimeError("another writer has committed")
 
+    def write(self, rows: DataFrame) -> None:
+        """Make ``rows`` the table.  Fails if another writer has committed since."""
+        self._commit(len(self.versions()), {}, rows)
+
+    def _rewrite(self, touching: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        number, folders = len(self.versions()), self.folders()
+        # At most as many numbers as there are buckets.
+        touched = {r[0] for r in touching.select(self._bucket()).distinct().collect()}
+        old = self._read(sorted(f for b, f in folders.items() if b in touched))
+        self._commit(number, {b: f for b, f in folders.items() if b not in touched}, change(old))
+
     def upsert(self, incoming: DataFrame, order: list[str] | None = None) -> None:
-        self.write(upsert(self.read(), incoming, self.keys, order))
+        self._rewrite(incoming, lambda old: upsert(old, incoming, self.keys, order))
 
     def delete(self, gone: DataFrame) -> None:
-        self.write(delete(self.read(), gone, self.keys))
+        self._rewrite(gone, lambda old: delete(old, gone, self.keys))

@@ -109,6 +109,20 @@ def test_upsert_delete_and_keyed_table(spark, tmp_path):
     assert len(table.versions()) == 3
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    schema = spark.createDataFrame([], "id int, v string").schema
+    table = store.KeyedTable(spark, f"file://{tmp_path}/t", ["id"], schema, buckets=8)
+    table.write(spark.createDataFrame([(i, "a") for i in range(200)], schema))
+    before = table.folders()
+    table.upsert(spark.createDataFrame([(7, "x"), (1000, "y")], schema), ["v"])
+    after = table.folders()
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) <= 2
+    rows = {r.id: r.v for r in table.read().collect()}
+    assert len(rows) == 201 and rows[7] == "x" and rows[1000] == "y" and rows[8] == "a"
+    table.delete(spark.createDataFrame([(i,) for i in range(200)], "id int"))
+    assert [r.id for r in table.read().collect()] == [1000]
+
+
 def test_writer_that_lost_the_race_fails(spark, tmp_path, monkeypatch):
     schema = spark.createDataFrame([], "id int, v string").schema
     table = store.KeyedTable(spark, f"file://{tmp_path}/t", ["id"], schema)
