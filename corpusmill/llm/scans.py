@@ -7,9 +7,10 @@ that are running headers, footers or page numbers are page furniture; words cut
 hyphen are joined; and a rare word that a plausible glyph edit turns into a far more frequent
 one is taken as a misreading of it when the context agrees.
 
-What is sent to the workers is bounded whatever the size of the corpus: a word or pair of words
-is kept only if it makes up more than a fixed share of all of them, and there are at most
-1 / share of such words.
+What is sent to the workers of words is bounded whatever the size of the corpus: a word or pair of
+words is kept only if it makes up more than a fixed share of all of them, and there are at most
+1 / share of such words.  Of the forms of lines, of which a document has many, only those are sent
+that answer a question (:func:`telling_forms`).
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ EDGE = 3
 ODDS = 3.0
 #: A line shorter than this share of its page's longest is no running text.
 SHORT = 0.5
-#: Entries of a task's counters after which they are handed on.
-FLUSH = 400_000
+#: Entries of a task's counters after which they are handed on, and documents that a task holds as objects at a time.
+FLUSH, ROWS = 400_000, 500
 
 _HYPHENS = "-‐‑­¬"
 _BROKEN = re.compile(rf"[^\W_](?:[|])?[{_HYPHENS}]$")
@@ -433,10 +434,18 @@ def _as_pages(pages: list[dict]) -> list[Page]:
     return [Page(p["block"], p["page"], p["text"].split("\n")) for p in pages if p["text"].strip()]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that not all documents of one are objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def corpus_counts(preprocessed: DataFrame) -> DataFrame:
     """``(kind, key, n)``: words, pairs of neighbours, of words with one between them, and forms at page edges, over all pages.
 
-    Counted in each task before anything is shuffled.
+    A form has ``+`` before it where it is furniture, ``-`` where it is text, and ``?`` where a document will ask
+    whether it is text (see :func:`_is_furniture`).  Counted in each task before anything is shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,12 +457,13 @@ def corpus_counts(preprocessed: DataFrame) -> DataFrame:
         def handed_on() -> pa.RecordBatch:
             kinds = ["w"] * len(words) + ["p"] * len(pairs) + ["q"] * len(wide) + ["f"] * len(forms)
             keys = [*words, *(f"{a}\t{b}" for c in (pairs, wide) for a, b in c), *forms]
-            batch = pa.RecordBatch.from_pydict({"kind": kinds, "key": keys, "n": pa.array([*words.values(), *pairs.values(), *wide.values(), *forms.values()], pa.int64())})
+            # With types, as the last batch of a task is empty if the one before it was handed on at the limit.
+            batch = pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "key": pa.array(keys, pa.string()), "n": pa.array([*words.values(), *pairs.values(), *wide.values(), *forms.values()], pa.int64())})
             for c in (words, pairs, wide, forms):
                 c.clear()
             return batch
 
-        for batch in batches:
+        for batch in _sliced(batches):
             for row in batch.column(1).to_pylist():
                 pages = _as_pages(row)
                 repeated = repeated_edges(pages)
@@ -480,6 +490,7 @@ def corpus_counts(preprocessed: DataFrame) -> DataFrame:
                     wide.update(zip(keys, keys[2:], strict=False))
                 forms.update(f"+{f}" for f in kept)
                 forms.update(f"-{f}" for f in text)
+                forms.update({f"?{edge_forms(p)[0]}" for p, n in repeated.items() if n == 2})
                 forms["documents"] += 1
             if len(words) + len(pairs) + len(wide) + len(forms) > FLUSH:
                 yield handed_on()
@@ -518,6 +529,22 @@ def learn_vectors(words: dict[str, int], pairs: dict[tuple[str, str], int], wide
     return dict(zip(names, u.astype(np.float32), strict=True)), dict(zip(names, v.astype(np.float32), strict=True))
 
 
+def telling_forms(counts: DataFrame, least: float) -> DataFrame:
+    """``(form, plus, minus)``: the forms by which :class:`Model` answers a question otherwise than by not knowing them.
+
+    Those are furniture, beginnings of headings, and lines of text that a document asks for.  Most lines of text
+    nobody asks for, and their number grows with the corpus.
+    """
+    signed = counts.where((F.col("kind") == "f") & (F.col("key") != "documents")).select(F.substring("key", 1, 1).alias("sign"), F.expr("substring(key, 2)").alias("form"), "n")
+    count = lambda sign: F.coalesce(F.max(F.when(F.col("sign") == sign, F.col("n"))), F.lit(0))
+    both = signed.where((F.col("n") >= least) | (F.col("sign") == "?")).groupBy("form").agg(count("+").alias("plus"), count("-").alias("minus"), count("?").alias("asked"))
+    plus, minus, kind = F.col("plus"), F.col("minus"), F.substring("form", 1, 2)
+    known = (kind != "b ") & (plus >= 2) & (plus > ODDS * minus)
+    heading = (kind == "b ") & (minus >= 3 * F.greatest(F.lit(1), plus))
+    text = (kind == "w ") & (F.col("asked") > 0) & (minus >= F.greatest(F.lit(1), plus))
+    return both.where(known | heading | text).select("form", "plus", "minus")
+
+
 def learn(preprocessed: DataFrame) -> dict:
     """What a :class:`Model` is made of, from all scanned pages."""
     counts = corpus_counts(preprocessed).persist()
@@ -525,11 +552,13 @@ def learn(preprocessed: DataFrame) -> dict:
         total = {r["kind"]: r["n"] for r in counts.where("kind != 'f'").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
         documents = counts.where("key = 'documents' and kind = 'f'").agg(F.sum("n")).first()[0] or 0
         pair = max(LEAST, PAIR_SHARE * total.get("p", 0))
-        least = {"w": max(LEAST, WORD_SHARE * total.get("w", 0)), "p": pair, "q": pair, "f": max(2, FORM_SHARE * documents)}
+        least = {"w": max(LEAST, WORD_SHARE * total.get("w", 0)), "p": pair, "q": pair}
         kept: dict[str, dict] = {}
         for kind, n in least.items():
             rows = counts.where((F.col("kind") == kind) & (F.col("n") >= n)).select("key", "n").collect()
             kept[kind] = {(tuple(r["key"].split("\t")) if kind in "pq" else r["key"]): r["n"] for r in sorted(rows, key=lambda r: r["key"])}
+        rows = telling_forms(counts, max(2, FORM_SHARE * documents)).collect()
+        kept["f"] = {f"{sign}{r['form']}": n for r in rows for sign, n in (("+", r["plus"]), ("-", r["minus"])) if n}
     finally:
         counts.unpersist()
     vectors, contexts = learn_vectors({w: n for w, n in kept["w"].items() if n >= VECTOR_SHARE * total.get("w", 0)}, kept["p"], kept["q"])
@@ -639,7 +668,7 @@ def repair_pages(preprocessed: DataFrame, parts: dict | None = None) -> DataFram
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, blocks, texts, found = [], [], [], []
             for prep_id, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for page, skip, kinds, stream, fixed in faults(_as_pages(row), model):
